@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumbre.llm import neardup
+from lumbre.llm import neardup, splitting
 from lumbre.sources.store import table
 
 
@@ -18,5 +18,16 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.select(F.col("id").alias("chunk_id"), F.col("group").alias("grupo"), F.col("copies").alias("copias"), F.col("links").alias("enlaces"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
-SQL: dict[str, str] = {}
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    cut = splitting.split_long(table(spark, d, "chunks"), "chunk_id", "texto", ["seccion", "pagina"])
+    return cut.select("chunk_id", F.col("piece").alias("pieza"), F.col("start").alias("inicio"), F.col("end").alias("fin"), F.col("piece_text").alias("texto"), "seccion", "pagina")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pieces(spark, d).where("pieza = 2").select("chunk_id")
+
+
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_groups": p2_groups}
+SQL: dict[str, str] = {
+    "p5_found": "select distinct chunk_id from chunks where length(texto) > 1500 and chunk_id is not null",
+}
