@@ -252,6 +252,36 @@ def _meet(threshold: float):
     return run
 
 
+#: Largest size of a filter, in bits; beyond it a filter lets more pass, but loses nothing.
+FILTER_BITS = 1 << 26
+
+
+def filter_of(ids: DataFrame, column: str) -> np.ndarray:
+    """Bitmap of hashed ids, of bounded size, made in the partitions and combined on the driver."""
+    size = 1 << max(16, min(FILTER_BITS.bit_length() - 1, (16 * ids.count()).bit_length()))
+
+    def run(batches):
+        grid = np.zeros(size, bool)
+        for batch in batches:
+            grid[_place(batch[column], size)] = True
+        yield pd.DataFrame({"bits": [np.packbits(grid).tobytes()]})
+
+    whole = np.zeros(size // 8, np.uint8)
+    for row in ids.select(column).coalesce(4).mapInPandas(run, "bits binary").toLocalIterator():
+        whole |= np.frombuffer(row.bits, np.uint8)
+    return whole
+
+
+def _place(ids: pd.Series, size: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((ids.to_numpy(np.int64).view(np.uint64) * np.uint64(_MULTIPLIERS[0])) >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
+
+
+def in_filter(bits: np.ndarray, ids: pd.Series) -> np.ndarray:
+    at = _place(ids, len(bits) * 8)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
 def texts_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (id, tid, text) with non-null id and text; equal texts have equal tid."""
     return df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").select("id", F.xxhash64("text").alias("tid"), "text")
@@ -270,14 +300,16 @@ def similar_classes(df: DataFrame, key: str, text: str, shingle: int = 5, thresh
     packets = rows.select("tid", "text").mapInPandas(_packets(shingle, bands, buckets), "bucket int, payload binary")
     met = packets.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_meet(threshold), "a long, b long").distinct()
     candidates = materialize(met)
-    wanted = candidates.select(F.col("a").alias("tid")).unionByName(candidates.select(F.col("b").alias("tid"))).distinct()
+    wanted = candidates.select(F.col("a").alias("tid")).unionByName(candidates.select(F.col("b").alias("tid")))
+    bits = filter_of(wanted, "tid")
 
     def tokens(batches):
         for batch in batches:
+            batch = batch[in_filter(bits, batch["tid"])].drop_duplicates("tid")
             yield pd.DataFrame({"tid": batch["tid"], "tokens": [x.tobytes() for x in shingle_sets(batch["text"], shingle)]})
 
-    sets = rows.select("tid", "text").join(wanted, "tid", "left_semi").dropDuplicates(["tid"]).mapInPandas(tokens, "tid long, tokens binary")
-    sets = materialize(sets)
+    # only the texts of candidates are shuffled; what the filter lets pass wrongly finds no partner in the join
+    sets = materialize(rows.select("tid", "text").mapInPandas(tokens, "tid long, tokens binary").groupBy("tid").agg(F.first("tokens").alias("tokens")))
 
     @F.pandas_udf("double")
     def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
