@@ -23,6 +23,8 @@ WORD = re.compile(r"[^\W_]+")
 #: 64-bit words of a token bitmap.
 SIGNATURE = 6
 ROWS = 4
+#: Bytes of a shingle's hash that are compared in the end.
+TOKEN = 6
 #: Texts in a leaf of a signature tree, and children of a node.
 LEAF = 16
 FAN = 8
@@ -296,7 +298,7 @@ def similar_classes(df: DataFrame, key: str, text: str, shingle: int = 5, thresh
     rows = texts_of(df, key, text)
     members = rows.select("id", "tid").distinct()
     if buckets is None:
-        buckets = max(8, -(-rows.count() * bands * 6 // 48_000_000))
+        buckets = max(6, -(-rows.count() * bands * 6 // 48_000_000))
     packets = rows.select("tid", "text").mapInPandas(_packets(shingle, bands, buckets), "bucket int, payload binary")
     met = packets.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_meet(threshold), "a long, b long").distinct()
     candidates = materialize(met)
@@ -306,22 +308,23 @@ def similar_classes(df: DataFrame, key: str, text: str, shingle: int = 5, thresh
     def tokens(batches):
         for batch in batches:
             batch = batch[in_filter(bits, batch["tid"])].drop_duplicates("tid")
-            yield pd.DataFrame({"tid": batch["tid"], "tokens": [x.tobytes() for x in shingle_sets(batch["text"], shingle)]})
+            yield pd.DataFrame({"tid": batch["tid"], "tokens": [x.view(np.uint8).reshape(-1, 8)[:, :TOKEN].tobytes() for x in shingle_sets(batch["text"], shingle)]})
 
-    # only the texts of candidates are shuffled; what the filter lets pass wrongly finds no partner in the join
-    sets = materialize(rows.select("tid", "text").mapInPandas(tokens, "tid long, tokens binary").groupBy("tid").agg(F.first("tokens").alias("tokens")))
+    # no text is shuffled, only the token sets of candidates; what the filter lets pass wrongly finds no partner in the join
+    sets = materialize(rows.select("tid", "text").mapInPandas(tokens, "tid long, tokens binary"))
 
     @F.pandas_udf("double")
     def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(x, y):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
+            p, q = np.frombuffer(p, f"V{TOKEN}"), np.frombuffer(q, f"V{TOKEN}")
+            both = len(set(p.tolist()) & set(q.tolist()))
             out.append(both / max(1, len(p) + len(q) - both))
         return pd.Series(out)
 
     scored = candidates.join(sets.select(F.col("tid").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("tid").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", jaccard("x", "y").alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold), members
+    # equal texts in different files gave equal sets, hence repeated pairs
+    return scored.where(F.col("similarity") >= threshold).distinct(), members
 
 
 def similar_rows(df: DataFrame, key: str, text: str, shingle: int = 5, threshold: float = 0.8, **options) -> DataFrame:

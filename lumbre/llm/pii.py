@@ -1,0 +1,364 @@
+"""Personal data in free text: generators propose overlapping spans, boosted trees judge them, the best ones are replaced.
+
+The generators are broad (high recall): anything shaped like an address, a number, an e-mail or a name. For each type, trees
+score a span by its format and by the words around it; they are fitted on sentences built from frames and invented
+values (no real person's data). Spans above the calibrated threshold are chosen from the widest types to the narrowest,
+so that a name in an address or a number in an address counts as address only.
+"""
+
+from __future__ import annotations
+
+import random
+import re
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from lumbre.llm.boosting import Boosted
+
+TYPES = ["EMAIL", "DIRECCION", "TELEFONO", "DOCUMENTO", "NOMBRE"]
+#: Rows the trees of one type are fitted on, at most.
+SAMPLE = 6000
+
+U, L = "A-ZÁÉÍÓÚÜÑÇÀÈÒ", "a-záéíóúüñçàèò"
+_DIGIT_WORD = "(?:cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve)"
+_AT = r"\s*(?:@|＠|\(\s*(?:arroba|at|a)\s*\)|\[\s*(?:arroba|at|a)\s*\]|\{\s*(?:arroba|at)\s*\}|\barroba\b|\bAT\b)\s*"
+_DOT = r"(?:\.|\s*(?:\(punto\)|\[punto\]|\[dot\]|\(dot\))\s*|\s+(?:punto|DOT|dot)\s+)"
+_EMAIL = re.compile(rf"(?:mailto:\s*)?[\w][\w.+\-]*{_AT}[\w\-]*(?:{_DOT}[\w\-]+)*|[\w][\w.+\-]*[\w]\s+en\s+[\w\-]+(?:\.[\w\-]+)*\.[a-z]{{2,}}\b")
+_NUMBER = re.compile(r"(?<![\w.,])(?:\(?\+\s?\d{1,3}\)?[ .·/\-]*|\(\d{2,4}\)[ .·/\-]*)?\d(?:[ .·/\-]{0,2}\d){4,}(?:\s*\(prefijo\s*\d{2,4}\)|\s*,?\s*ext\.?\s*\d{1,5})?(?![\d])")
+_SPELLED = re.compile(rf"\b{_DIGIT_WORD}(?:[ ,\-]+{_DIGIT_WORD}){{5,}}\b", re.I)
+_CODE = re.compile(
+    r"(?<![\w\-])(?:(?:nº|n\.º|núm\.?|número)\s*)?(?:\d{2}[. ]?\d{3}[. ]?\d{3}\s?-?\s?[A-Za-z](?!\w)|[XYZxyz]\s?-?\s?\d{7}\s?-?\s?[A-Za-z](?!\w)|[A-Za-z]{2,3}[ \-]?\d{6,7}(?!\w)|\d{2}\s?/\s?\d{7,8}\s?/\s?\d{2}(?!\w)|\d{6,12}(?![\w]))"
+)
+_STREET = (
+    r"(?:calle(?:jón|ja)?|c/|cl?\.|avda\.?|avenida|av\.|avgda\.?|plaza|plza\.?|pza\.?|pl\.|plaça|paseo|p\.º|pº|pso\.?|passeig|camino|cno\.?|cmno\.?|carretera|ctra\.?|rúa|ronda|rda\.?|travesía|trav\.|glorieta|gta\.?|urbanización|urb\.|cuesta|vía|polígono|pol\.|barrio|carrer|alameda|bulevar|pasaje|psje\.?)"
+)
+_PLACE = re.compile(
+    rf"(?<![\w]){_STREET}\s*(?:de\s+las?\s+|de\s+los\s+|del\s+|de\s+|d[e']?l?\s*)?(?:(?:doctora?|dra?\.|santa|santo|san|general|maestro|profesora?)\s+)?[{U}{L}][\w'\-]*\.?(?:\s+(?!n\.|nº|núm|s/n|esc|pta|bajo)[{U}{L}][\w'\-]*){{0,3}}"
+    rf"(?:\s*,?\s*(?:n\.\s?º|nº|n°|núm\.?|número|no\.)?\s*\d{{1,4}}(?!\d)(?:\s?(?:bis|[A-Z](?![\w])))?|\s*,?\s*s/n)?"
+    rf"(?:\s*,?\s*(?:\d{{1,2}}\.?\s?[ºª°]\s?[A-Za-z]?(?!\w)|esc\.?\s?\w{{1,3}}|pta\.?\s?\w{{1,3}}|piso\s?\w{{1,3}}|bajo|ático|entlo\.?|izq(?:da)?\.?|dcha\.?|portal\s?\w{{1,3}}|bloque\s?\w{{1,3}}|puerta\s?\w{{1,3}})(?!\w))*"
+    rf"(?:\s*,?\s*(?:C\.?P\.?\s*)?\d{{5}}(?!\d)(?:\s+[{U}][\w'\-]*(?:\s+(?:de|la|del|los)?\s*[{U}][\w'\-]*){{0,2}})?|\s*,\s+[{U}][{L}]+(?:\s+[{U}][{L}]+){{0,2}})?",
+    re.I,
+)
+_TOKEN = rf"(?:[{U}][{L}]+|[{U}]{{2,}})"
+_NAME = re.compile(
+    rf"(?<![\w@.\-/])(?:(?:{_TOKEN}|[{U}]\.)(?:(?:\s+(?:de\s+las?|de\s+los|del|de|y|i)\s+|\s+|-|\s*,\s+)(?:{_TOKEN}|[{U}]\.)(?:-{_TOKEN})?){{1,4}}|{_TOKEN})(?![\w@])"
+)
+_LOWER = re.compile(rf"(?<![\w@.\-/])([{L}]+)\s+((?:(?:de\s+las?|de\s+los|del|de)\s+)?[{L}]+(?:-[{L}]+)?(?:\s+[{L}]+)?)")
+
+# Words that come before or after personal data of a type, and words that come before other codes.
+CUES = {
+    "EMAIL": ["correo", "mail", "e-mail", "email", "mailto", "escribirme", "contesta", "enviar", "contacto", "escribe", "dirección electrónica"],
+    "DIRECCION": ["vive", "domicilio", "reside", "empadronado", "empadronada", "dirección", "visita", "mandar", "recogida", "mudado", "mudada", "residente en", "casa"],
+    "TELEFONO": ["tfno", "teléfono", "telefono", "tel", "tlf", "móvil", "movil", "llamar", "llamada", "llame", "contacto", "probar", "aviso", "contesta", "fijo", "whatsapp", "avisar"],
+    "DOCUMENTO": ["dni", "nif", "nie", "pasaporte", "nhc", "historia", "afiliación", "afiliacion", "seguridad social", "nuss", "documento", "identificación", "identificacion", "aporta", "consta", "informe", "expediente", "tarjeta", "cip", "identidad"],
+    "NOMBRE": ["llamo", "llama", "llamado", "hermano", "hermana", "hijo", "hija", "madre", "padre", "según", "hablé con", "habló con", "firmado", "caso de", "remite", "atendido por", "atendida por", "dr.", "dra.", "doctor", "doctora", "d.", "dª", "sr.", "sra.", "don", "doña", "paciente", "paciente:", "nombre", "datos:", "avisar a", "pareja", "marido", "mujer", "contacto:", "comenta", "enfermera", "señor", "señora"],
+}
+NOT_PERSONAL = ["lote", "código", "codigo", "protocolo", "registro", "valor", "versión", "ensayo", "muestra", "muestras", "concepto", "referencia", "ref.", "nct", "isbn", "guía", "cultivo", "detectó", "detected", "frente", "sobre", "mutación", "grew", "against", "factura", "catálogo", "acta", "producto", "cima", "dosis", "fabricante"]
+AFTER_NAME = ["pide", "tolera", "acudió", "ya no", "que cuida", "para pedir", "para sesión", "desde urgencias", "en su nota", "en planta", "se ha mudado", "pregunta", "y llevo", "con dni", "con nif", "con nie", "con nhc", "con pasaporte", "con afiliación", "con historia", "vive", "reside", "llamó", "refiere", "acude", "del resultado"]
+GIVEN = (
+    "Adrián Agustín Aitor Alba Alberto Alejandra Alejandro Alfonso Alicia Álvaro Amina Ana Andrea Andrés Ángel Ángela Ángeles Anna Antonia Antonio Beatriz Begoña Blanca Bruno Carla Carlos Carmen Carolina Catalina Cecilia Celia César Clara Claudia Concepción Consuelo Cristina Daniel David Diego Dolores Eduardo Elena Emilio Emma Encarnación Enrique Esther Eva Fátima Felipe Fernando Francisca Francisco Gabriel Gloria Gonzalo Guillermo Héctor Hugo Ignacio Iker Inés Inmaculada Ioana Irene Isabel Íñigo Jaime Javier Jesús Joan Joaquín Jordi Jorge José Josefa Juan Juana Julia Julio Kofi Laura Leire Lorena Lorenzo Lourdes Lucas Lucía Luis Luisa Manuel Manuela Mar Marcos Margarita María Mario Marina Marta Martín Martina Mateo Mercedes Miguel Miriam Mohamed Mónica Montse Natalia Nerea Nicolás Noelia Nuria Olga Óscar Ousmane Pablo Patricia Paula Pedro Pilar Rafael Ramón Raquel Raúl Ricardo Roberto Rocío Rodrigo Rosa Rosario Rubén Salvador Samuel Sandra Santiago Sara Sergio Silvia Sofía Sonia Susana Svetlana Teresa Tomás Unai Vicente Víctor Victoria Virginia Wei Xavier Yago Yolanda Youssef"
+).split()
+_GIVEN = {x.lower() for x in GIVEN}
+_OPENERS = {w.strip(".:") for w in CUES["NOMBRE"]} | set("mi su la el lo al los las en con por se no si un una remite firmado acude avisar según hablé caso datos lleva toma pauta vive correo adjunto consta aporta".split())
+_STOP = set("a al con cuando de del desde durante e el en es esta este ha la las lo los más no o para pero pide por pregunta que se si sin sobre su sus tolera un una y ya acudió cada como este esa fue entre hasta según tras muy acude refiere llamó vive reside".split())
+_SURNAME = re.compile(r"(?:ez|iz|az|oz|al|ain|uri|ano|era|osa|ones|anda|ete|edo|asco|enza|ela|oria|ilde|ain|ete|iete|ales|ero|és|ín|án|ón)s?$", re.I)
+_ORGANISM = re.compile(rf"^[{U}][{L}]+(?:virus|ium|coco|ella|ia|bacter|ana|us|um)\b")
+
+
+def _cue(window: str, words: list[str]) -> int:
+    """How near the last of the words stands before the span: 3 right before, 2 within about two words, 1 within the window."""
+    best = -1
+    for w in words:
+        at = window.rfind(w)
+        if at >= 0 and (at == 0 or not window[at - 1].isalnum()) and (at + len(w) >= len(window) or not window[at + len(w)].isalnum() or w[-1] in ".:"):
+            best = max(best, at + len(w))
+    if best < 0:
+        return 0
+    gap = len(window) - best
+    return 3 if gap <= 3 else 2 if gap <= 16 else 1
+
+
+def features(kind: str, text: str, start: int, end: int) -> list[float]:
+    span = text[start:end]
+    before, after = text[max(0, start - 44) : start], text[end : end + 26]
+    # words of an earlier sentence say little
+    low = re.split(r"[?!\n]\s|(?<![dDrRaª])\.\s(?=[A-ZÁÉÍÓÚ¿\[])", before.lower() if kind == "EMAIL" else before)[-1].lower()
+    tail = after.lower().lstrip(" ,")
+    letters = sum(c.isalpha() for c in span)
+    digits = sum(c.isdigit() for c in span)
+    upper = sum(c.isupper() for c in span)
+    words = re.findall(r"[^\W\d_]+", span)
+    head = before.rstrip()
+    return [
+        len(span), letters, digits, upper, len(words),
+        max((len(x) for x in re.findall(r"\d+", span)), default=0),
+        _cue(low, CUES[kind]), _cue(low, NOT_PERSONAL),
+        max(_cue(low, CUES[k]) for k in TYPES if k != kind),
+        any(tail.startswith(x) for x in AFTER_NAME),
+        any(tail.startswith(x) for x in ("de muestras", "del fabricante", "sin revisar", "fuera de", "mg", "ml", "copias", "células", "%", "h ", "g ", "resistente", "en el tablón", "ui", "versión", "tardó", "en ")),
+        (head[-1:] in "([<{") + 2 * (after[:1] in ")]>}"),
+        (head[-1:] in "|;/") + 2 * (after.lstrip()[:1] in tuple("|;/")),
+        head[-1:] == ":", not head or head[-1:] in ".?!\n¿¡",
+        sum(w.lower() in _GIVEN for w in words), bool(words) and words[0].lower() in _GIVEN,
+        sum(bool(_SURNAME.search(w)) and w[:1].isupper() for w in words), bool(words) and bool(_SURNAME.search(words[-1])),
+        bool(_ORGANISM.match(span)) and after[:1] == " " and after[1:2].islower() if kind == "NOMBRE" else 0,
+        "@" in span or "＠" in span, "arroba" in span.lower() or "at" in re.findall(r"[a-z]+", span.lower()), bool(re.search(r"[\w\-]\s*(?:\.|punto|dot)\s*[a-z]{2,}$", span.lower())),
+        span.startswith("+") or span.startswith("(+") or span.startswith("00"), span.count(" ") + span.count(".") + span.count("·") + span.count("-") + span.count("/"),
+        span[-1:].isalpha(), span[:1].isalpha(), bool(re.search(r"s/n|\b\d{1,4}\b", span)), bool(re.search(rf"(?:\s|/|\.)[{U}]", span)), "," in span, bool(re.match(rf"[{U}]\.", span)),
+        bool(re.search(r"prefijo|ext", span)), len(words) > 0 and span.upper() == span, bool(re.search(r"\b\d{5}\b", span)), tail[:8] in ("invalid.", "invalid"), bool(re.match(r"[\w.+\-]+$", before[-1:])) if before else False,
+        bool(re.search(rf"[{U}][{L}]+[ ,\-]+$", before)) and not re.search(r"[.?!:]\s*\S+\s*$", before), bool(words) and words[0].lower() in _OPENERS,
+    ]
+
+
+def propose(text: str) -> list[tuple[str, int, int]]:
+    """Overlapping candidate spans of every type."""
+    out = []
+    low = None
+    if "@" in text or "＠" in text or "rroba" in text or " AT " in text or "[at]" in text or "(at)" in text or "[a]" in text or " en " in text:
+        for m in _EMAIL.finditer(text):
+            if m.end() - m.start() > 5 or "@" in m.group():
+                out.append(("EMAIL", m.start(), m.end()))
+    for m in _NUMBER.finditer(text):
+        n = sum(c.isdigit() for c in m.group())
+        if 6 <= n <= 20:
+            out.append(("TELEFONO", m.start(), m.end()))
+    for m in _CODE.finditer(text):
+        out.append(("DOCUMENTO", m.start(), m.end()))
+    for m in _SPELLED.finditer(text):
+        out.append(("TELEFONO", m.start(), m.end()))
+    for m in _PLACE.finditer(text):
+        out.append(("DIRECCION", m.start(), m.end()))
+    for m in _NAME.finditer(text):
+        s = m.start()
+        span = m.group()
+        if " " in span or "-" in span or "," in span or _named(span):
+            out.append(("NOMBRE", s, m.end()))
+            # without a first word that only begins the sentence
+            first = re.match(rf"{_TOKEN}\s+", span)
+            if first and first.group().strip().lower() not in _GIVEN and len(span) > first.end():
+                rest = span[first.end() :]
+                if " " in rest or _named(rest):
+                    out.append(("NOMBRE", s + first.end(), m.end()))
+        elif s and text[s - 1] in " (" and text[: s - 1].rstrip()[-1:] not in ("", ".", "?", "!", "¿", "¡", "\n"):
+            out.append(("NOMBRE", s, m.end()))
+    for m in _LOWER.finditer(text):
+        if m.group(1) in _GIVEN and m.group(2).split()[0] not in _STOP - {"de", "del"}:
+            rest = m.group(2).split()
+            keep = len(rest)
+            if keep > 1 and (rest[-1] in _STOP or rest[-2] not in ("la", "los", "las", "del", "de") and not _SURNAME.search(rest[-1])):
+                keep -= 1
+            end = m.start(2)
+            for w in rest[:keep]:
+                end = text.index(w, end) + len(w)
+            out.append(("NOMBRE", m.start(), end))
+    return out
+
+
+def _named(span: str) -> bool:
+    return span.lower().split()[0].strip(",") in _GIVEN
+
+
+# Frames of the sentences the trees are fitted on.
+FRAMES = {
+    "NOMBRE": ["Me llamo {} y llevo años en tratamiento.", "Su hermano {} pide copia del informe.", "Mi paciente {} tolera mal la pauta.", "Según {}, ya no tiene fiebre.", "La paciente {} acudió ayer a consulta.", "Hablé con {}, que cuida de su madre.", "Firmado: {}.", "Caso de {} para sesión.", "Remite {} desde urgencias.", "Lo comenta el Dr. {} en su nota.", "¿Ha llamado {} para pedir cita?", "Atendido por {} en planta.", "Paciente: {}.", "{} pide cita el lunes.", "Acude la Sra. {} con su hija.", "El médico de guardia, {}, lo confirma."],
+    "EMAIL": ["Contesta desde {} habitualmente.", "Correo: {}.", "e-mail {}", "Enviar el informe a {} cuanto antes.", "Puede escribirme a {}.", "{}", "Escribe siempre desde {} por la noche."],
+    "TELEFONO": ["Llamar al {} por las tardes.", "Tfno. {}.", "Móvil: {}", "Su teléfono es {}.", "Si no contesta, probar {}.", "Contacto de la hija {}.", "Deja aviso en el {}.", "Pide que le devuelvan la llamada, {}, antes del viernes."],
+    "DOCUMENTO": ["Adjunto informe, {}.", "Consta {} en el volante.", "Aporta {} en admisión.", "Identificación: {}.", "({})", "Trae {} para el registro."],
+    "DIRECCION": ["Vive en {}.", "Domicilio: {}.", "Reside ahora en {} con su hija.", "Empadronado en {}.", "La visita será en {}.", "Mandar la medicación a {}.", "Recogida de medicación: {}."],
+}
+MIXED = ["{NOMBRE} | {EMAIL} | {TELEFONO}", "Datos: {NOMBRE}; {DOCUMENTO}; {DIRECCION}.", "{NOMBRE}, con {DOCUMENTO}, pregunta por su pauta.", "Avisar a {NOMBRE} ({TELEFONO}) del resultado.", "Contacto: {EMAIL} / {TELEFONO}.", "{NOMBRE} se ha mudado a {DIRECCION}.", "Avisar a D. {NOMBRE} ({TELEFONO}) del resultado.", "Remite {NOMBRE} desde urgencias. ({DOCUMENTO})"]
+OTHERS = [
+    "Valor {d3}.{d3} fuera de rango.", "Registro {d8} de muestras.", "Lote {d9} del fabricante.", "Código de concepto {d9} sin revisar.", "Protocolo ZX-20{d2}-{d3}, versión {d2}.", "Ensayo NCT{d8} en curso.", "Referencia {d8} del catálogo.", "Muestra M{d6} recibida.",
+    "Tiene plaza de residente de {d1} meses.", "Vive en la calle desde hace meses.", "La ronda empieza a las {d2}.", "El paseo diario mejora el ánimo.", "Remito a la avenida terapéutica ya descrita.", "El camino clínico incluye {d1} visitas.", "Por vía oral cada {d2} h.", "Vía intramuscular 2 dosis.",
+    "Teléfono pendiente de confirmar.", "Correo: pendiente@", "Avisar a @guardia en el tablón.", "Toma {d3} mg @ {d2} h con comida.", "Perdió una arroba de peso en {d2} días.", "Firma ilegible.", "Historia clínica sin abrir.", "Consta el documento sin número.", "Vive en la ciudad.", "Su nombre no consta.",
+    "Refiere dolores articulares y poco consuelo.", "Marcó cinco, tres y dos en la escala.", "[NOMBRE] pide cita en [CENTRO].", "Aporta [DNI] en admisión.", "Paciente con infección por {w} y fiebre.", "Según el panel, la pauta sigue.", "Según las guías, conviene vigilar.", "En caso de filtrado entre {d2} y {d3} ml/min se ajusta.",
+    "La reacción en cadena detectó {O} en {d1} de {d3} muestras.", "El cultivo de {O} tardó {d2} días.", "¿Qué dice la guía de 20{d2} sobre {O} resistente a {w}?", "La dosis de recuerdo frente a {O} mejora el título hasta {d3} UI.", "Mutación M{d3}V en {d2} secuencias.", "La punción lumbar mostró {d1} células y {d3} copias.", "Carga de {w} de {d6} copias.",
+    "Pauta: {w}/{w} {d3} mg c/{d2} h", "Flu shot coverage reached {d2},{d1} % in 20{d2}.", "Tras {d2} semanas de seguimiento, la Agencia Europea revisó la ficha.", "El Ministerio de Sanidad publicó la Guía de Vacunas.", "La Sociedad Española recomienda TARV con INI.", "Hablé con el equipo, que cuida del registro.", "Remite el centro desde urgencias.", "Ensayo {d4}/{d4} con {d2} brazos.", "Entre 20{d2} y 20{d2} hubo {d2}.{d3} visitas.", "El original dice: \"Mood disorder lowered executive scores.\"", "Diabetes Control Worsened in {d2} of {d3} smokers.", "Consulte con su centro.", "ISBN {d3}-{d2}-{d5}-{d1}.", "Código C{d7} de {w}.", "Concepto {d9} de {w}.", "Marina tomó nota.",
+]
+
+
+class _Maker:
+    """Invented values in many spellings."""
+
+    def __init__(self, seed: int):
+        self.r = random.Random(seed)
+
+    def digits(self, n: int) -> str:
+        return "".join(self.r.choice("0123456789") for _ in range(n))
+
+    def stem(self) -> str:
+        r = self.r
+        return (r.choice("Al Bel Bor Cam Ces Dur Ech Fer Gal Gra Hor Izk Jun Lan Llo Mar Men Mon Nav Or Pal Per Quin Ras Rui San Sol Tab Teb Tor Ul Ur Val Vil Yel Zor".split()) + r.choice("a be bru ca de do fe ga la lo ma na no pi ra ri ta to un vi".split()) + r.choice("l n r rt st".split() + [""] * 3) + r.choice("ez iz azo al ain uri ano era osa ones anda ete edo asco enza uela oria ilde iz ero".split())).replace("lll", "ll")
+
+    def word(self) -> str:
+        return "".join(self.r.choice("bcdfglmnprstvxz") + self.r.choice("aeiou") for _ in range(4)) + self.r.choice(["vir", "tina", "mab", "prida", "xol", ""])
+
+    def organism(self) -> str:
+        r = self.r
+        return ("".join(r.choice("bcdfglmnprstvxz") + r.choice("aeiou") for _ in range(4))).capitalize() + r.choice(["ium tenax", "virus humano", "coco pálido", "ella minor", "ia lenta", "bacter mutans"])
+
+    def name(self) -> str:
+        r, a, b = self.r, self.stem(), self.stem()
+        first = r.choice(GIVEN)
+        if r.random() < 0.25:
+            b = f"{b[:3]}{self.stem().lower()}"
+        s = r.choice([f"{first} {a}", f"{first} {a} {b}", f"{first} {a}-{b}", f"{first} de la {a}", f"{a} {b}, {first}", f"{first[0]}. {a}", f"{first} {a[0]}. {b}", f"{first} {a}", f"{a}, {first}", f"{first} del {a}", f"{first} de los {a}"])
+        k = r.random()
+        return s.upper() if k < 0.1 else s.lower() if k < 0.2 and not re.match(r"\w\.", s) and s.split()[0] == first else s
+
+    def email(self) -> str:
+        r = self.r
+        user = f"{r.choice(GIVEN)}{r.choice(['', '.', '_', '-'])}{self.stem()}{r.choice(['', self.digits(2), '+alertas'])}".lower()
+        host, end = r.choice(["correo", "mail", "buzon", "salud-norte", "clinica", "red"]), r.choice([["example"], ["example", "com"], ["test"], ["invalid"], ["example", "org"]])
+        k = r.randrange(10)
+        dom = ".".join([host, *end])
+        spoken = " punto ".join([host, *end])
+        return [f"{user}@{dom}", f"{user} @ {dom}", f"{user} (arroba) {spoken}", f"{user}[at]{dom}", f"<{user}@{dom}>", f"mailto:{user}@{dom}", f"{user}@{dom}".upper(), f"{user}＠{dom}", f"{user} AT {' DOT '.join([host, *end])}", f"{user} en {dom}, sin espacios"][k]
+
+    def phone(self) -> str:
+        r, d = self.r, self.digits
+        a, b, c, e = r.choice("56789") + d(2), d(3), d(3), d(2)
+        n = a + b + c
+        sep = r.choice(" .·-")
+        spelled = " ".join("cero uno dos tres cuatro cinco seis siete ocho nueve".split()[int(x)] for x in n)
+        return r.choice([n, f"{a}{sep}{b}{sep}{c}", f"{a} {d(2)} {d(2)} {e}", f"+34 {a} {b} {c}", f"+34{n}", f"0034{n}", f"(+34) {a}-{b}-{c}", f"({a}) {b} {c} ext. {d(3)}", f"{d(3)} {d(2)} {d(2)} (prefijo {a})", f"{a}/{b}{c}", " ".join(n), spelled, f"+999 {d(2)} {d(6)}", f"{n[:2]} {n[2:5]} {n[5:7]} {n[7:]}"])
+
+    def document(self) -> str:
+        r, d = self.r, self.digits
+        l = r.choice("ABCDEFGHJKLMNPQRSTVWXYZ")
+        n = d(8)
+        return r.choice([f"DNI {n}{l}", f"{n}-{l}", f"dni: {n} {l.lower()}", f"NIF {n}{l}", f"NIE {r.choice('XYZ')}{d(7)}{l}", f"{r.choice('XYZ')}-{d(7)}-{l}", f"pasaporte {l}{r.choice('ABQZ')}{r.choice('AKLZ')}{d(6)}", f"NHC {d(7)}", f"nº de historia {d(7)}", f"historia clínica: {d(7)}", f"afiliación {d(2)}/{n}/{d(2)}", f"{n}{l}", f"{n[:2]}.{n[2:5]}.{n[5:]}-{l}", f"tarjeta sanitaria {d(10)}"])
+
+    def place(self) -> str:
+        r, d = self.r, self.digits
+        kind = r.choice("calle,C/,c/,Avda.,Avenida,Plaza,Pza.,Paseo,P.º,Camino,Ctra.,Carretera,Rúa,Ronda,Travesía,Calle".split(","))
+        mid = r.choice(["", "de los ", "del ", "de la ", "Doctor ", ""])
+        n = str(r.randint(1, 140))
+        town = r.choice(["Aldebuza", "Villarmora", "Santa Orela", "Riofrasca", "Soleldez", "Peñalbosa"])
+        s = f"{kind} {mid}{self.stem()}{r.choice(['', 's'])}" + r.choice([f", {n}", f" {n} esc. 2 pta. {d(1)}", f", {n}, 00{d(3)} {town}", f" n.º {n}, {town}", f" s/n, {town}", f" {n} BAJO", f", {n}, 5.º B", f" n.º {n}"])
+        k = r.random()
+        return s.upper() if k < 0.15 else s.lower() if k < 0.25 else s
+
+    def fill(self, kind: str) -> str:
+        return {"NOMBRE": self.name, "EMAIL": self.email, "TELEFONO": self.phone, "DOCUMENTO": self.document, "DIRECCION": self.place}[kind]()
+
+    def sentence(self) -> tuple[str, list[tuple[str, int, int]]]:
+        """A sentence and its true spans."""
+        r = self.r
+        k = r.random()
+        if k < 0.4:
+            s = re.sub(r"\{(d\d|w|O)\}", lambda m: self.word() if m[1] == "w" else self.organism() if m[1] == "O" else self.digits(int(m[1][1])), r.choice(OTHERS))
+            return s, []
+        if k < 0.75:
+            kind = r.choice(TYPES)
+            frame = r.choice(FRAMES[kind]).replace("{}", "{" + kind + "}")
+        else:
+            frame = r.choice(MIXED)
+        s, spans, at = "", [], 0
+        for m in re.finditer(r"\{([A-Z]+)\}", frame):
+            s += frame[at : m.start()]
+            value = self.fill(m[1])
+            spans.append((m[1], len(s), len(s) + len(value)))
+            s += value
+            at = m.end()
+        return s + frame[at:], spans
+
+
+def _agree(kind: str, a: int, b: int, x: int, y: int) -> bool:
+    """Whether a proposed span counts as the true one in fitting."""
+    both = min(b, y) - max(a, x)
+    if kind == "NOMBRE":
+        return a == x and both >= 0.7 * (y - x) and b <= y
+    if kind == "DOCUMENTO":
+        return both >= 0.55 * (b - a)
+    return both >= 0.55 * (b - a) and both >= 0.6 * (y - x)
+
+
+@lru_cache(maxsize=2)
+def fit(sample: int = SAMPLE, seed: int = 11) -> dict[str, Boosted]:
+    """Trees per type, fitted on at most ``sample`` candidates of the type."""
+    maker = _Maker(seed)
+    rows: dict[str, list] = {k: [] for k in TYPES}
+    marks: dict[str, list] = {k: [] for k in TYPES}
+    for _ in range(sample):
+        parts = [maker.sentence() for _ in range(maker.r.randint(1, 3))]
+        text, truth = "", []
+        for s, spans in parts:
+            if text:
+                text += " "
+            truth += [(k, a + len(text), b + len(text)) for k, a, b in spans]
+            text += s
+        for kind, a, b in propose(text):
+            if len(rows[kind]) < sample:
+                inside = any((k in ("EMAIL", "DIRECCION")) and k != kind and a >= x and b <= y for k, x, y in truth)
+                # a document's words (DNI, pasaporte) are no part of what is judged
+                good = not inside and any(k == kind and _agree(kind, a, b, x, y) for k, x, y in truth)
+                rows[kind].append(features(kind, text, a, b))
+                marks[kind].append(good)
+    return {k: Boosted(rounds=50).fit(np.array(rows[k], float), np.array(marks[k])) for k in TYPES}
+
+
+def find(texts: list[str], model: dict[str, Boosted]) -> list[list[tuple[str, int, int]]]:
+    """Chosen spans of each text, not overlapping, in order."""
+    where: dict[str, list] = {k: [] for k in TYPES}
+    rows: dict[str, list] = {k: [] for k in TYPES}
+    for i, text in enumerate(texts):
+        for kind, a, b in propose(text):
+            where[kind].append((i, a, b))
+            rows[kind].append(features(kind, text, a, b))
+    chosen: dict[int, list] = {}
+    for rank, kind in enumerate(TYPES):
+        if rows[kind]:
+            p = model[kind].predict(np.array(rows[kind], float))
+            for (i, a, b), q in zip(where[kind], p):
+                if q >= model[kind].threshold:
+                    chosen.setdefault(i, []).append((rank, -q, a, b, kind))
+    out = [[] for _ in texts]
+    for i, spans in chosen.items():
+        # addresses and e-mails first; numbers by probability; names last
+        taken: list[tuple[int, int, str]] = []
+        for rank, q, a, b, kind in sorted(spans, key=lambda s: (s[0] if s[0] < 2 else 4 if s[4] == "NOMBRE" else 2, s[1], s[2] - s[3])):
+            if all(b <= x or a >= y for x, y, _ in taken):
+                taken.append((a, b, kind))
+        out[i] = [(k, a, b) for a, b, k in sorted(taken)]
+    return out
+
+
+def _trim(text: str, kind: str, a: int, b: int) -> tuple[int, int]:
+    while b > a and text[b - 1] in " ,;:\n":
+        b -= 1
+    return a, b
+
+
+def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
+    out, at = [], 0
+    for kind, a, b in spans:
+        a, b = _trim(text, kind, a, b)
+        out += [text[at:a], f"[{kind}]"]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def scan(df: DataFrame, text: str, keys: list[str], sample: int = SAMPLE) -> DataFrame:
+    """Rows (keys, kinds array, redacted) of every row with a non-null text; kinds are the distinct types found, sorted.
+
+    Empty texts have no kinds; an existing placeholder in brackets stays; everything outside the spans stays as it is.
+    Repeated rows give repeated rows; other columns are dropped.
+    """
+    model = fit(sample)
+    rows = df.select(*keys, F.col(text).alias("__text")).where(F.col("__text").isNotNull())
+    kinds = dict(rows.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch["__text"].tolist()
+            found = find(texts, model)
+            out = batch[keys].copy()
+            out["kinds"] = [sorted({k for k, _, _ in spans}) for spans in found]
+            out["redacted"] = [redact_text(t, s) if s else t for t, s in zip(texts, found)]
+            yield out
+
+    return rows.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", kinds array<string>, redacted string")

@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumbre.llm import neardup, splitting
+from lumbre.llm import neardup, pii, splitting
 from lumbre.sources.store import table
 
 
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    """Doctor and assistant texts and already treated texts as rows (origen, clave, texto)."""
+    turns = table(spark, d, "turns").select(F.lit("turns").alias("origen"), F.concat("thread_id", F.lit("#"), "turn_id").alias("clave"), "texto")
+    messages = table(spark, d, "messages").select(F.lit("messages").alias("origen"), F.col("id").cast("string").alias("clave"), F.col("content").alias("texto"))
+    results = table(spark, d, "pii_results").select(F.lit("pii_results").alias("origen"), F.col("result_id").cast("string").alias("clave"), "texto")
+    return turns.unionByName(messages).unionByName(results).where("clave is not null")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.scan(_personal(spark, d), "texto", ["origen", "clave"]).select("origen", "clave", F.explode("kinds").alias("tipo")).distinct()
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.scan(_personal(spark, d), "texto", ["origen", "clave"]).select("origen", "clave", F.col("redacted").alias("texto")).dropDuplicates(["origen", "clave"])
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = neardup.similar_rows(table(spark, d, "chunks"), "chunk_id", "texto", shingle=3, threshold=0.5)
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
@@ -27,7 +43,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pieces(spark, d).where("pieza = 2").select("chunk_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_groups": p2_groups}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_groups": p2_groups}
 SQL: dict[str, str] = {
     "p5_found": "select distinct chunk_id from chunks where length(texto) > 1500 and chunk_id is not null",
 }
