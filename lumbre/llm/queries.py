@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumbre.llm import neardup, pii, splitting
+from lumbre.llm import neardup, pairs, pii, scans, splitting
 from lumbre.sources.store import table
 
 
@@ -34,6 +34,13 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.select(F.col("id").alias("chunk_id"), F.col("group").alias("grupo"), F.col("copies").alias("copias"), F.col("links").alias("enlaces"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    messages = table(spark, d, "messages").select("id", "thread_id", "role", "content")
+    model = pairs.fit_terminal(messages.where("role = 'asistente'"), "id", "content")
+    answers = pairs.answer_pairs(messages, "id", "thread_id", "role", "content", "medico", "asistente")
+    return pairs.defects(answers, model).select("id", F.col("defect").alias("defecto")).distinct()
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     cut = splitting.split_long(table(spark, d, "chunks"), "chunk_id", "texto", ["seccion", "pagina"])
     return cut.select("chunk_id", F.col("piece").alias("pieza"), F.col("start").alias("inicio"), F.col("end").alias("fin"), F.col("piece_text").alias("texto"), "seccion", "pagina")
@@ -43,7 +50,26 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pieces(spark, d).where("pieza = 2").select("chunk_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_groups": p2_groups}
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks and chunks as rows (origen, clave, texto, size_max)."""
+    blocks = table(spark, d, "blocks").select(F.lit("blocks").alias("origen"), F.concat("doc_id", F.lit("#"), "ord").alias("clave"), "texto", "size_max")
+    chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("origen"), F.col("chunk_id").alias("clave"), "texto", F.lit(None).cast("double").alias("size_max"))
+    return blocks.unionByName(chunks).where("clave is not null")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = _scanned(spark, d)
+    return scans.clean(rows, "texto", ["origen", "clave"], scans.lexicon(rows, "texto"), "size_max").select("origen", "clave", F.explode("kinds").alias("ruido")).distinct()
+
+
+def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    rows = _scanned(spark, d)
+    blocks = table(spark, d, "blocks").where("doc_id is not null")
+    done = scans.clean(blocks, "texto", ["doc_id", "ord"], scans.lexicon(rows, "texto"), "size_max")
+    return scans.documents(done, "doc_id", "ord", "repaired").select("doc_id", F.col("text").alias("texto"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_documents": p7_documents, "p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_groups": p2_groups}
 SQL: dict[str, str] = {
     "p5_found": "select distinct chunk_id from chunks where length(texto) > 1500 and chunk_id is not null",
 }
