@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumbre.llm import neardup, pairs, pii, scans, splitting
+from lumbre.llm import mapping, neardup, pairs, pii, scans, splitting
 from lumbre.sources.store import table
 
 
@@ -50,6 +50,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pieces(spark, d).where("pieza = 2").select("chunk_id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    decisions = table(spark, d, "anchor_decisions").select(F.lit("anchor_decisions").alias("origen"), F.col("decision_id").alias("clave"), F.col("entidad").alias("value"))
+    candidates = table(spark, d, "candidates").select(F.lit("candidates").alias("origen"), F.col("cand_id").alias("clave"), F.col("termino").alias("value"))
+    rows = decisions.unionByName(candidates).where("clave is not null and value is not null")
+    mapped = mapping.map_values(rows, "value", table(spark, d, "terminos"), "term_norm", "cui")
+    return rows.join(mapped, "value").select("origen", "clave", F.col("key").alias("cui")).distinct()
+
+
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
     """Blocks and chunks as rows (origen, clave, texto, size_max)."""
     blocks = table(spark, d, "blocks").select(F.lit("blocks").alias("origen"), F.concat("doc_id", F.lit("#"), "ord").alias("clave"), "texto", "size_max")
@@ -69,7 +77,7 @@ def p7_documents(spark: SparkSession, d: str) -> DataFrame:
     return scans.documents(done, "doc_id", "ord", "repaired").select("doc_id", F.col("text").alias("texto"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_documents": p7_documents, "p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_groups": p2_groups}
+QUERIES = {"p6_found": p6_found, "p7_found": p7_found, "p7_documents": p7_documents, "p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_groups": p2_groups}
 SQL: dict[str, str] = {
     "p5_found": "select distinct chunk_id from chunks where length(texto) > 1500 and chunk_id is not null",
 }
