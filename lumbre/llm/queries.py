@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumbre.llm import mapping, neardup, pairs, pii, scans, splitting
-from lumbre.sources.store import table
+from lumbre.llm import mapping, mixing, neardup, packing, pairs, pii, scans, splitting, topics
+from lumbre.sources.store import materialize, table
 
 
 def _personal(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +77,51 @@ def p7_documents(spark: SparkSession, d: str) -> DataFrame:
     return scans.documents(done, "doc_id", "ord", "repaired").select("doc_id", F.col("text").alias("texto"))
 
 
-QUERIES = {"p6_found": p6_found, "p7_found": p7_found, "p7_documents": p7_documents, "p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_groups": p2_groups}
+def _topics(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    model = topics.fit(documents, table(spark, d, "doc_labels"), table(spark, d, "subject_areas"))
+    return topics.score(documents, model)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _topics(spark, d).select("doc_id", F.explode("areas").alias("area")).distinct()
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each area, and of none, over all documents."""
+    areas = _topics(spark, d).dropDuplicates(["doc_id"]).select(F.explode_outer("areas").alias("area"))
+    return areas.groupBy(F.coalesce("area", F.lit("(ninguna)")).alias("area")).agg(F.count("*").alias("documentos"))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "text", F.lower(F.trim("source")).alias("source"))
+    clusters = neardup.similar_groups(documents, "doc_id", "text").where("copies > 1 or links > 0").select(F.col("id").alias("key"), F.col("group").alias("cluster"))
+    items = packing.sized(documents, "doc_id", "text", carry=["source"]).join(clusters, "key", "left")
+    return packing.pack(materialize(items))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).select(F.col("container").alias("contenedor"), F.col("key").alias("doc_id"), F.col("part").alias("parte"), F.col("first").alias("primero"), "tokens")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(_packed(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    items = materialize(mixing.measured(table(spark, d, "documents")))
+    return mixing.mix(items, table(spark, d, "source_weights"))
+
+
+def p9_selection(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition, "p6_found": p6_found, "p7_found": p7_found, "p7_documents": p7_documents, "p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_groups": p2_groups}
 SQL: dict[str, str] = {
     "p5_found": "select distinct chunk_id from chunks where length(texto) > 1500 and chunk_id is not null",
 }
