@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # Letters with marks and their bases, in the Latin-1 range.
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
@@ -67,7 +68,7 @@ def fold(x: Column) -> Column:
     return F.translate(F.lower(x), ACCENTED, BASES)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_exact(texts: pd.Series) -> pd.Series:
     """Lower case without any combining mark, over all of Unicode; an Arrow function, for other scripts than Latin-1."""
     import unicodedata
@@ -215,7 +216,7 @@ def section_number(x: Column) -> Column:
     return F.nullif(F.regexp_extract(x, r"^\s*(\d{1,2}(?:\.\d{1,2}){0,3})", 1), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def title_case(texts: pd.Series) -> pd.Series:
     """Capital after every character that is no letter; an Arrow function, since initcap looks at blanks only."""
     return texts.map(lambda t: None if t is None else t.title())
