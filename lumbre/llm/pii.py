@@ -27,6 +27,8 @@ _DIGIT_WORD = "(?:cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve)"
 _AT = r"\s*(?:@|＠|\(\s*(?:arroba|at|a)\s*\)|\[\s*(?:arroba|at|a)\s*\]|\{\s*(?:arroba|at)\s*\}|\barroba\b|\bAT\b)\s*"
 _DOT = r"(?:\.|\s*(?:\(punto\)|\[punto\]|\[dot\]|\(dot\))\s*|\s+(?:punto|DOT|dot)\s+)"
 _EMAIL = re.compile(rf"(?:mailto:\s*)?[\w][\w.+\-]*{_AT}[\w\-]*(?:{_DOT}[\w\-]+)*|[\w][\w.+\-]*[\w]\s+en\s+[\w\-]+(?:\.[\w\-]+)*\.[a-z]{{2,}}\b")
+#: Where an address sign may be; the address around it is matched from there.
+_SIGN = re.compile(r"[@＠]|\barroba\b|\bAT\b|[\[({]\s*(?:at|a)\s*[\])}]|\sen\s+[\w\-]+(?:\.[\w\-]+)*\.[a-z]{2,}")
 _NUMBER = re.compile(r"(?<![\w.,])(?:\(?\+\s?\d{1,3}\)?[ .·/\-]*|\(\d{2,4}\)[ .·/\-]*)?\d(?:[ .·/\-]{0,2}\d){4,}(?:\s*\(prefijo\s*\d{2,4}\)|\s*,?\s*ext\.?\s*\d{1,5})?(?![\d])")
 _SPELLED = re.compile(rf"\b{_DIGIT_WORD}(?:[ ,\-]+{_DIGIT_WORD}){{5,}}\b", re.I)
 _CODE = re.compile(
@@ -44,9 +46,12 @@ _PLACE = re.compile(
 )
 _TOKEN = rf"(?:[{U}][{L}]+|[{U}]{{2,}})"
 _NAME = re.compile(
-    rf"(?<![\w@.\-/])(?:(?:{_TOKEN}|[{U}]\.)(?:(?:\s+(?:de\s+las?|de\s+los|del|de|y|i)\s+|\s+|-|\s*,\s+)(?:{_TOKEN}|[{U}]\.)(?:-{_TOKEN})?){{1,4}}|{_TOKEN})(?![\w@])"
+    rf"(?<![\w@.\-/])(?:(?:{_TOKEN}|[{U}]\.)(?:(?:\s+(?:de\s+las?|de\s+los|del|de|y|i)\s+|\s+|-|\s*,\s+)(?:{_TOKEN}|[{U}]\.)(?:-{_TOKEN})?){{1,4}})(?![\w@])"
 )
-_LOWER = re.compile(rf"(?<![\w@.\-/])([{L}]+)\s+((?:(?:de\s+las?|de\s+los|del|de)\s+)?[{L}]+(?:-[{L}]+)?(?:\s+[{L}]+)?)")
+_SINGLE = re.compile(rf"(?<![\w@.\-/]){_TOKEN}(?![\w@])")
+_DIGIT_WORDS = set("cero uno dos tres cuatro cinco seis siete ocho nueve".split())
+_FIRST = re.compile(rf"(?<![\w@.\-/])[{L}]+(?=\s)")
+_LOWER = re.compile(rf"([{L}]+)\s+((?:(?:de\s+las?|de\s+los|del|de)\s+)?[{L}]+(?:-[{L}]+)?(?:\s+[{L}]+)?)")
 
 # Words that come before or after personal data of a type, and words that come before other codes.
 CUES = {
@@ -116,36 +121,53 @@ def features(kind: str, text: str, start: int, end: int) -> list[float]:
 def propose(text: str) -> list[tuple[str, int, int]]:
     """Overlapping candidate spans of every type."""
     out = []
-    low = None
-    if "@" in text or "＠" in text or "rroba" in text or " AT " in text or "[at]" in text or "(at)" in text or "[a]" in text or " en " in text:
-        for m in _EMAIL.finditer(text):
-            if m.end() - m.start() > 5 or "@" in m.group():
+    done = -1
+    for sign in _SIGN.finditer(text):
+        if sign.start() < done:
+            continue
+        lo = max(0, sign.start() - 70)
+        for m in _EMAIL.finditer(text, lo, min(len(text), sign.end() + 110)):
+            if m.start() <= sign.start() < m.end() and (m.end() - m.start() > 5 or "@" in m.group()):
                 out.append(("EMAIL", m.start(), m.end()))
+                done = m.end()
+                break
+    words = set(text.lower().replace(",", " ").split())
+    given = not _GIVEN.isdisjoint(words)
     for m in _NUMBER.finditer(text):
         n = sum(c.isdigit() for c in m.group())
         if 6 <= n <= 20:
             out.append(("TELEFONO", m.start(), m.end()))
     for m in _CODE.finditer(text):
         out.append(("DOCUMENTO", m.start(), m.end()))
-    for m in _SPELLED.finditer(text):
-        out.append(("TELEFONO", m.start(), m.end()))
+    if not _DIGIT_WORDS.isdisjoint(words):
+        for m in _SPELLED.finditer(text):
+            out.append(("TELEFONO", m.start(), m.end()))
     for m in _PLACE.finditer(text):
         out.append(("DIRECCION", m.start(), m.end()))
     for m in _NAME.finditer(text):
         s = m.start()
         span = m.group()
-        if " " in span or "-" in span or "," in span or _named(span):
-            out.append(("NOMBRE", s, m.end()))
-            # without a first word that only begins the sentence
-            first = re.match(rf"{_TOKEN}\s+", span)
-            if first and first.group().strip().lower() not in _GIVEN and len(span) > first.end():
-                rest = span[first.end() :]
-                if " " in rest or _named(rest):
-                    out.append(("NOMBRE", s + first.end(), m.end()))
-        elif s and text[s - 1] in " (" and text[: s - 1].rstrip()[-1:] not in ("", ".", "?", "!", "¿", "¡", "\n"):
-            out.append(("NOMBRE", s, m.end()))
-    for m in _LOWER.finditer(text):
-        if m.group(1) in _GIVEN and m.group(2).split()[0] not in _STOP - {"de", "del"}:
+        out.append(("NOMBRE", s, m.end()))
+        # without a first word that only begins the sentence
+        first = re.match(rf"{_TOKEN}\s+", span)
+        if first and first.group().strip().lower() not in _GIVEN and len(span) > first.end():
+            rest = span[first.end() :]
+            if " " in rest or _named(rest):
+                out.append(("NOMBRE", s + first.end(), m.end()))
+    if given:
+        for m in _SINGLE.finditer(text):
+            if m.group().lower() in _GIVEN:
+                out.append(("NOMBRE", m.start(), m.end()))
+        out += _lower_names(text)
+    return out
+
+
+def _lower_names(text: str) -> list[tuple[str, int, int]]:
+    """Given names in lower case with what follows them."""
+    out = []
+    for first in _FIRST.finditer(text):
+        m = _LOWER.match(text, first.start()) if first.group() in _GIVEN else None
+        if m and m.group(2).split()[0] not in _STOP - {"de", "del"}:
             rest = m.group(2).split()
             keep = len(rest)
             if keep > 1 and (rest[-1] in _STOP or rest[-2] not in ("la", "los", "las", "del", "de") and not _SURNAME.search(rest[-1])):
