@@ -29,7 +29,7 @@ _DOT = r"(?:\.|\s*(?:\(punto\)|\[punto\]|\[dot\]|\(dot\))\s*|\s+(?:punto|DOT|dot
 _EMAIL = re.compile(rf"(?:mailto:\s*)?[\w][\w.+\-]*{_AT}[\w\-]*(?:{_DOT}[\w\-]+)*|[\w][\w.+\-]*[\w]\s+en\s+[\w\-]+(?:\.[\w\-]+)*\.[a-z]{{2,}}\b")
 #: Where an address sign may be; the address around it is matched from there.
 _SIGN = re.compile(r"[@＠]|\barroba\b|\bAT\b|[\[({]\s*(?:at|a)\s*[\])}]|\sen\s+[\w\-]+(?:\.[\w\-]+)*\.[a-z]{2,}")
-_NUMBER = re.compile(r"(?<![\w.,])(?:\(?\+\s?\d{1,3}\)?[ .·/\-]*|\(\d{2,4}\)[ .·/\-]*)?\d(?:[ .·/\-]{0,2}\d){4,}(?:\s*\(prefijo\s*\d{2,4}\)|\s*,?\s*ext\.?\s*\d{1,5})?(?![\d])")
+_NUMBER = re.compile(r"(?<![\w.,])(?:(?:\(\+\s?\d{1,3}\)|\+\s?\d{1,3})[ .·/\-]*|\(\d{2,4}\)[ .·/\-]*)?\d(?:[ .·/\-]{0,2}\d){4,}(?:\s*\(prefijo\s*\d{2,4}\)|\s*,?\s*ext\.?\s*\d{1,5})?(?![\d])")
 _SPELLED = re.compile(rf"\b{_DIGIT_WORD}(?:[ ,\-]+{_DIGIT_WORD}){{5,}}\b", re.I)
 _CODE = re.compile(
     r"(?<![\w\-])(?:(?:nº|n\.º|núm\.?|número)\s*)?(?:\d{2}[. ]?\d{3}[. ]?\d{3}\s?-?\s?[A-Za-z](?!\w)|[XYZxyz]\s?-?\s?\d{7}\s?-?\s?[A-Za-z](?!\w)|[A-Za-z]{2,3}[ \-]?\d{6,7}(?!\w)|\d{2}\s?/\s?\d{7,8}\s?/\s?\d{2}(?!\w)|\d{6,12}(?![\w]))"
@@ -48,6 +48,7 @@ _TOKEN = rf"(?:[{U}][{L}]+|[{U}]{{2,}})"
 _NAME = re.compile(
     rf"(?<![\w@.\-/])(?:(?:{_TOKEN}|[{U}]\.)(?:(?:\s+(?:de\s+las?|de\s+los|del|de|y|i)\s+|\s+|-|\s*,\s+)(?:{_TOKEN}|[{U}]\.)(?:-{_TOKEN})?){{1,4}})(?![\w@])"
 )
+_LEAD = re.compile(rf"{_TOKEN}\s+(?:(?:de\s+las?|de\s+los|del|de|y)\s+)?")
 _SINGLE = re.compile(rf"(?<![\w@.\-/]){_TOKEN}(?![\w@])")
 _DIGIT_WORDS = set("cero uno dos tres cuatro cinco seis siete ocho nueve".split())
 _FIRST = re.compile(rf"(?<![\w@.\-/])[{L}]+(?=\s)")
@@ -64,7 +65,7 @@ CUES = {
 NOT_PERSONAL = ["lote", "código", "codigo", "protocolo", "registro", "valor", "versión", "ensayo", "muestra", "muestras", "concepto", "referencia", "ref.", "nct", "isbn", "guía", "cultivo", "detectó", "detected", "frente", "sobre", "mutación", "grew", "against", "factura", "catálogo", "acta", "producto", "cima", "dosis", "fabricante"]
 AFTER_NAME = ["pide", "tolera", "acudió", "ya no", "que cuida", "para pedir", "para sesión", "desde urgencias", "en su nota", "en planta", "se ha mudado", "pregunta", "y llevo", "con dni", "con nif", "con nie", "con nhc", "con pasaporte", "con afiliación", "con historia", "vive", "reside", "llamó", "refiere", "acude", "del resultado"]
 GIVEN = (
-    "Adrián Agustín Aitor Alba Alberto Alejandra Alejandro Alfonso Alicia Álvaro Amina Ana Andrea Andrés Ángel Ángela Ángeles Anna Antonia Antonio Beatriz Begoña Blanca Bruno Carla Carlos Carmen Carolina Catalina Cecilia Celia César Clara Claudia Concepción Consuelo Cristina Daniel David Diego Dolores Eduardo Elena Emilio Emma Encarnación Enrique Esther Eva Fátima Felipe Fernando Francisca Francisco Gabriel Gloria Gonzalo Guillermo Héctor Hugo Ignacio Iker Inés Inmaculada Ioana Irene Isabel Íñigo Jaime Javier Jesús Joan Joaquín Jordi Jorge José Josefa Juan Juana Julia Julio Kofi Laura Leire Lorena Lorenzo Lourdes Lucas Lucía Luis Luisa Manuel Manuela Mar Marcos Margarita María Mario Marina Marta Martín Martina Mateo Mercedes Miguel Miriam Mohamed Mónica Montse Natalia Nerea Nicolás Noelia Nuria Olga Óscar Ousmane Pablo Patricia Paula Pedro Pilar Rafael Ramón Raquel Raúl Ricardo Roberto Rocío Rodrigo Rosa Rosario Rubén Salvador Samuel Sandra Santiago Sara Sergio Silvia Sofía Sonia Susana Svetlana Teresa Tomás Unai Vicente Víctor Victoria Virginia Wei Xavier Yago Yolanda Youssef"
+    "Adrián Agustín Ahmed Ainhoa Aisha Aitor Alba Alberto Alejandra Alejandro Alfonso Alicia Álvaro Amaia Amina Ana Andrea Andrés Ángel Ángela Ángeles Anna Antonia Antonio Asier Beatriz Begoña Blanca Bruno Carla Carlos Carmen Carolina Catalina Cecilia Celia César Clara Claudia Concepción Consuelo Cristina Daniel David Diego Dolores Eduardo Elena Emilio Emma Encarnación Enrique Esther Eva Fátima Felipe Fernando Francisca Francisco Gabriel Gloria Gonzalo Gorka Guillermo Héctor Hugo Ignacio Iker Inés Inmaculada Ioana Irene Isabel Itziar Íñigo Jaime Javier Jesús Joan Joaquín Jordi Jorge José Josefa Juan Juana Julia Julio Kofi Laura Leire Lorena Lorenzo Lourdes Lucas Lucía Luis Luisa Manuel Manuela Mar Marcos Margarita María Mario Marina Marta Martín Martina Maite Mamadou Mateo Mercedes Miguel Mikel Miriam Mohamed Mónica Montse Natalia Nerea Nicolás Noelia Nuria Olga Óscar Ousmane Pablo Patricia Paula Pedro Pilar Rafael Ramón Raquel Raúl Ricardo Roberto Rocío Rodrigo Rosa Rosario Rubén Salvador Samuel Sandra Santiago Sara Sergio Silvia Sofía Sonia Susana Svetlana Teresa Tomás Unai Vicente Víctor Victoria Virginia Wei Xavier Yago Yolanda Youssef"
 ).split()
 _GIVEN = {x.lower() for x in GIVEN}
 _OPENERS = {w.strip(".:") for w in CUES["NOMBRE"]} | set("mi su la el lo al los las en con por se no si un una remite firmado acude avisar según hablé caso datos lleva toma pauta vive correo adjunto consta aporta".split())
@@ -149,8 +150,8 @@ def propose(text: str) -> list[tuple[str, int, int]]:
         span = m.group()
         out.append(("NOMBRE", s, m.end()))
         # without a first word that only begins the sentence
-        first = re.match(rf"{_TOKEN}\s+", span)
-        if first and first.group().strip().lower() not in _GIVEN and len(span) > first.end():
+        first = _LEAD.match(span)
+        if first and first.group().split()[0].lower() not in _GIVEN and len(span) > first.end():
             rest = span[first.end() :]
             if " " in rest or _named(rest):
                 out.append(("NOMBRE", s + first.end(), m.end()))
