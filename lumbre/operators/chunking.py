@@ -62,8 +62,13 @@ def pack(blocks: DataFrame, aim: int = 1100, overlap: int = 150) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """The first row of every key in the given order."""
-    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
+    """The first row of every key in the given order, then by its other columns.
+
+    A minimum over rows is combined before the shuffle, so a key with a third of all rows is no single task.
+    """
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("__first"))
+    return first.select(*[F.col(c) if c in keys else F.col(f"__first.{c}").alias(c) for c in rows.columns])
 
 
 def recommendations(chunks: DataFrame) -> DataFrame:

@@ -89,6 +89,10 @@ def merge_synonyms(dictionary: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def latest(log: DataFrame, key: str, time: str, tie: str) -> DataFrame:
-    """Replay of an append-only log: the last entry of every key; repeated entries count once."""
-    order = Window.partitionBy(key).orderBy(F.desc_nulls_last(time), F.desc(tie))
-    return log.where(F.col(key).isNotNull()).withColumn("__rn", F.row_number().over(order)).where("__rn = 1").drop("__rn")
+    """Replay of an append-only log: the last entry of every key, entries without a time before all others; repeated entries count once.
+
+    A maximum over rows, combined before the shuffle, so a popular key is no single task.
+    """
+    rest = [c for c in log.columns if c not in (key, time, tie)]
+    last = log.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(time, tie, *rest)).alias("__last"))
+    return last.select(*[F.col(c) if c == key else F.col(f"__last.{c}").alias(c) for c in log.columns])

@@ -33,9 +33,17 @@ def register(turns: DataFrame, days: int = 365) -> DataFrame:
     return turns.select("thread_id", "turn_id", "user_id", "role", clean.alias("texto"), count.alias("pii_directos"), kinds.alias("tipos"), level.alias("riesgo_reident"), reasons.alias("motivos_riesgo"), F.date_format(F.date_add(F.to_date(moment(F.col("ts"))), days), "yyyy-MM-dd").alias("retener_hasta"))
 
 
-def numbered(rows: DataFrame, thread: str, *order: str) -> DataFrame:
-    """Turn numbers from 1 in each thread."""
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(thread).orderBy(*order)))
+def numbered(rows: DataFrame, thread: str, order: str, block: int = 100_000) -> DataFrame:
+    """Rows (thread, order) with their place n from 1 in each thread; repeated rows count once.
+
+    Numbered in runs of ``block`` order values whose counts are added up, so a thread with a third of all rows is no
+    single task.
+    """
+    distinct = rows.select(thread, order).where(F.col(thread).isNotNull() & F.col(order).isNotNull()).distinct().withColumn("__run", F.floor(F.col(order) / block))
+    inner = distinct.withColumn("__n", F.row_number().over(Window.partitionBy(thread, "__run").orderBy(order)))
+    sizes = distinct.groupBy(thread, "__run").agg(F.count("*").alias("__c"))
+    before = sizes.select(thread, "__run", (F.sum("__c").over(Window.partitionBy(thread).orderBy("__run")) - F.col("__c")).alias("__before"))
+    return inner.join(before, [thread, "__run"]).select(thread, order, (F.col("__n") + F.col("__before")).cast("long").alias("n"))
 
 
 def keep(turns: DataFrame, today: Column) -> DataFrame:
@@ -90,10 +98,10 @@ def relevant(queries: DataFrame, turns: DataFrame, k: int = 3, least: int = 1) -
 def context(queries: DataFrame, turns: DataFrame, k: int = 3, recent: int = 2) -> DataFrame:
     """Rows (query_id, context): the last ``recent`` earlier turns and the relevant ones, each once, in order, as lines."""
     distinct = turns.dropDuplicates(["thread_id", "turn_id"])
-    asked = queries.select("query_id", "thread_id", F.col("turn_id").alias("before"))
-    # a thread's turns are numbered, so the last ones are found by number instead of sorting the thread
-    numbers = distinct.select("thread_id", "turn_id").join(asked, "thread_id").where("turn_id < before")
-    last = numbers.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("turn_id")))).where(f"rn <= {recent}").select("query_id", "thread_id", "turn_id")
+    # the places before the query's own are looked up, no thread is sorted for a query
+    places = numbered(turns.select("thread_id", "turn_id").unionByName(queries.select("thread_id", "turn_id")), "thread_id", "turn_id")
+    own = queries.select("query_id", "thread_id", "turn_id").distinct().join(places, ["thread_id", "turn_id"]).select("query_id", "thread_id", F.explode(F.sequence(F.lit(1), F.lit(recent))).alias("back"), "n").select("query_id", "thread_id", (F.col("n") - F.col("back")).alias("n"))
+    last = own.join(places, ["thread_id", "n"]).select("query_id", "thread_id", "turn_id")
     chosen = last.unionByName(relevant(queries, turns, k).select("query_id", "thread_id", "turn_id")).distinct()
     lines = chosen.join(distinct.select("thread_id", "turn_id", "role", "texto"), ["thread_id", "turn_id"]).select("query_id", "turn_id", F.concat(F.lit("["), "role", F.lit("] "), F.coalesce("texto", F.lit(""))).alias("line"))
     return lines.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_id", "line"))), lambda s: s["line"]), "\n").alias("context"))

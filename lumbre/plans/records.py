@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumbre.functions import text as tx
 from lumbre.operators import evaluation, graph, linking, memory
@@ -88,13 +88,7 @@ def register_turns(spark, d):
 
 
 def turn_numbers(spark, d):
-    t = table(spark, d, "messages").where("thread_id is not null").select("thread_id", "id").distinct()
-    # numbered in blocks of ids, so that a thread with a third of all messages is no single task
-    blocks = t.withColumn("bloque", F.floor(F.col("id") / 100_000))
-    inner = memory.numbered(blocks.withColumn("hilo", F.struct("thread_id", "bloque")), "hilo", "id")
-    sizes = blocks.groupBy("thread_id", "bloque").agg(F.count("*").alias("c"))
-    before = sizes.select("thread_id", "bloque", (F.sum("c").over(Window.partitionBy("thread_id").orderBy("bloque")) - F.col("c")).alias("antes"))
-    return inner.join(before, ["thread_id", "bloque"]).select("thread_id", "id", (F.col("n") + F.col("antes")).cast("long").alias("turno"))
+    return memory.numbered(table(spark, d, "messages"), "thread_id", "id").select("thread_id", "id", F.col("n").alias("turno"))
 
 
 def retention_purge(spark, d):
