@@ -70,11 +70,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.clean(rows, "texto", ["origen", "clave"], scans.lexicon(rows, "texto"), "size_max").select("origen", "clave", F.explode("kinds").alias("ruido")).distinct()
 
 
-def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+def p7_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     rows = _scanned(spark, d)
     blocks = table(spark, d, "blocks").where("doc_id is not null")
     done = scans.clean(blocks, "texto", ["doc_id", "ord"], scans.lexicon(rows, "texto"), "size_max")
-    return scans.documents(done, "doc_id", "ord", "repaired").select("doc_id", F.col("text").alias("texto"))
+    return scans.paragraphs(done, "doc_id", "ord", "repaired").select("doc_id", F.col("number").alias("parrafo"), F.col("text").alias("texto"))
 
 
 def _topics(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +121,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition, "p6_found": p6_found, "p7_found": p7_found, "p7_documents": p7_documents, "p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_groups": p2_groups}
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition, "p6_found": p6_found, "p7_found": p7_found, "p7_paragraphs": p7_paragraphs, "p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p2_found": p2_found, "p2_groups": p2_groups}
 SQL: dict[str, str] = {
     "p5_found": "select distinct chunk_id from chunks where length(texto) > 1500 and chunk_id is not null",
 }
