@@ -98,17 +98,21 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, iteration
     """
     total = seeds.groupBy("query_id").agg(F.sum("weight").alias("all"))
     restart = materialize(seeds.groupBy("query_id", "node").agg(F.sum("weight").alias("w")).join(total, "query_id").where("`all` > 0").select("query_id", "node", (F.col("w") / F.col("all")).alias("v")))
-    if modulation is None:
-        out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-        links = materialize(edges.join(out, "src").where("out > 0").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
-    else:
-        links = materialize(edges.select("src", "dst", F.col("weight").alias("share")))
+    out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
+    links = materialize(edges.join(out, "src").where("out > 0").select("src", "dst", "weight", "out"))
+    if modulation is not None:
+        scale = materialize(modulation.select("query_id", F.col("node").alias("dst"), "factor"))
+        # what the scaled edges add to a node's outgoing weight: only nodes with such edges have a row
+        extra = materialize(links.join(scale, "dst").groupBy("query_id", "src").agg(F.sum(F.col("weight") * (F.col("factor") - 1)).alias("extra")))
     now = restart.select("query_id", "node", F.col("v").alias("p"))
     for i in range(80 if tolerance is not None else iterations):
-        flow = now.join(links, now["node"] == links["src"]).select("query_id", "src", "dst", "p", "share")
-        if modulation is not None:
-            flow = flow.join(modulation.select("query_id", F.col("node").alias("dst"), "factor"), ["query_id", "dst"], "left").withColumn("share", F.col("share") * F.coalesce("factor", F.lit(1.0)))
-            flow = flow.withColumn("share", F.col("share") / F.sum("share").over(Window.partitionBy("query_id", "src"))).where("share is not null")
+        flow = now.join(links, now["node"] == links["src"]).select("query_id", "src", "dst", "p", "weight", "out")
+        if modulation is None:
+            flow = flow.withColumn("share", F.col("weight") / F.col("out"))
+        else:
+            flow = flow.join(scale, ["query_id", "dst"], "left").join(extra, ["query_id", "src"], "left")
+            left = F.col("out") + F.coalesce("extra", F.lit(0.0))
+            flow = flow.withColumn("share", F.when(left > 1e-12, F.col("weight") * F.coalesce("factor", F.lit(1.0)) / left)).where("share is not null")
         moved = flow.groupBy("query_id", F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("share")).alias("m"))
         kept = moved.groupBy("query_id").agg(F.sum("m").alias("kept"))
         # all mass is 1, so what did not move sat on nodes without outgoing edges
