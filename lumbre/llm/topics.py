@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lumbre.llm.mapping import fold
+from lumbre.llm.samples import bounded_sample
 from lumbre.sources.store import materialize
 
 #: Labelled documents used for fitting, and unlabelled ones for self-training, at most.
@@ -144,9 +145,8 @@ def frequencies(documents: DataFrame, text: str) -> np.ndarray:
     def run(batches):
         total = np.zeros(ROWS, np.int64)
         for batch in batches:
-            for t in batch["text"]:
-                rows = rows_of(t)
-                total += np.bincount(rows, minlength=ROWS)
+            for lo in range(0, len(batch), 1000):
+                total += np.bincount(np.concatenate([np.zeros(0, np.int32), *map(rows_of, batch["text"].iloc[lo : lo + 1000])]), minlength=ROWS)
         yield pd.DataFrame({"row": np.arange(ROWS), "n": total})
 
     counted = documents.select(F.col(text).alias("text")).where("text is not null").mapInPandas(run, "row int, n long").groupBy("row").agg(F.sum("n").alias("n"))
@@ -212,12 +212,12 @@ def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, labelled: int
         return model
     model.weigh(frequencies(documents, "text"))
     given = labels.where(F.col("area").isin(model.areas) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.array_sort(F.collect_set("area")).alias("areas"))
-    given = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    given = materialize(bounded_sample(materialize(given), "doc_id", labelled))
     texts = documents.select("doc_id", "text").where("text is not null and doc_id is not null")
     mine = texts.join(given, "doc_id").select("text", "areas", F.lit(True).alias("known"))
     described = [(f"{r.area} trata de {r.descripcion or r.area} y {r.area}.", [r.area], True) for r in names] * 3
     train = mine.distinct().unionByName(documents.sparkSession.createDataFrame(described, "text string, areas array<string>, known boolean"))
-    free = texts.join(given.select("doc_id"), "doc_id", "left_anti").select(F.xxhash64("doc_id", F.lit(2)).alias("h"), "doc_id", "text").orderBy("h", "doc_id").limit(unlabelled)
+    free = bounded_sample(texts.join(given.select("doc_id"), "doc_id", "left_anti"), "doc_id", unlabelled, 2)
     train = train.withColumn("free", F.lit(False)).unionByName(free.select("text", F.array().cast("array<string>").alias("areas"), F.lit(False).alias("known"), F.lit(True).alias("free")))
     train = materialize(train.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts))).repartition(parts, "part"))
     for phase in range(3):
