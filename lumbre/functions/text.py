@@ -220,3 +220,27 @@ def section_number(x: Column) -> Column:
 def title_case(texts: pd.Series) -> pd.Series:
     """Capital after every character that is no letter; an Arrow function, since initcap looks at blanks only."""
     return texts.map(lambda t: None if t is None else t.title())
+
+
+CLASS_QUESTION = r"(?iuU)\b(clase|clases|grupo|grupos|familia|todos los|todas las|cu[aá]les son los|qu[eé] f[aá]rmacos|inhibidores)\b"
+
+
+def is_class_question(x: Column) -> Column:
+    """Whether a question asks for a class of things rather than one."""
+    return x.rlike(CLASS_QUESTION)
+
+
+def split_labels(x: Column, codes: dict[str, str], separator: str = r"\+") -> Column:
+    """Codes of the labels of a text such as ``A + B``; unknown labels are left out."""
+    table = F.create_map(*[F.lit(v) for kv in codes.items() for v in kv])
+    return F.filter(F.transform(F.split(x, separator), lambda s: F.element_at(table, F.trim(s))), lambda c: c.isNotNull())
+
+
+def verbalized(subject: Column, relation: Column, outcome: Column, description: Column, most: int = 300) -> Column:
+    """An assertion as a sentence for embedding; missing parts are left out."""
+    return F.concat_ws(" ", subject, relation, F.concat(outcome, F.lit(".")), F.left(description, F.lit(most)))
+
+
+def has_all(words: Column, required: Column) -> Column:
+    """Whether all required words are among the words."""
+    return F.size(F.array_except(required, words)) == 0

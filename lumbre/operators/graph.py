@@ -176,3 +176,34 @@ def hop_traversal(edges: DataFrame, keywords: DataFrame, queries: DataFrame, k:
     total = visits.groupBy("query_id").agg(F.sum("n").alias("total"))
     scored = visits.join(total, "query_id").join(agreed, ["query_id", "id"], "left").select("query_id", "id", F.round(0.5 * (F.coalesce("agreement", F.lit(0.0)) + F.col("n") / F.col("total")), 4).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("id")))).where(f"rank <= {k}")
+
+
+def recommendation_edges(recommendations: DataFrame, named: DataFrame, most: int = 12) -> DataFrame:
+    """Edges from chunks to their recommendations and from entities to the recommendations that name them, the first ``most`` by name.
+
+    ``recommendations``: (id, chunk_id, words array); ``named``: (entity). Matched by word, not by trying every entity on every text.
+    """
+    held = recommendations.select(F.concat(F.lit("chunk:"), "chunk_id").alias("src"), F.concat(F.lit("rec:"), "id").alias("dst"), F.lit("CONTIENE_RECOMENDACION").alias("rel"))
+    hit = recommendations.select("id", F.explode(F.array_distinct("words")).alias("entity")).join(named.distinct(), "entity", "left_semi")
+    first = hit.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("entity"))).where(f"rn <= {most}")
+    return held.unionByName(first.select(F.concat(F.lit("ent:"), "entity").alias("src"), F.concat(F.lit("rec:"), "id").alias("dst"), F.lit("MENCIONADA_EN_REC").alias("rel"))).distinct()
+
+
+def concept_edges(anchors: DataFrame, links: DataFrame) -> DataFrame:
+    """Edges from entities to the concepts they are anchored to, and is-a links between concepts that are both there.
+
+    ``anchors``: (entity, code); ``links``: (child, parent).
+    """
+    tied = anchors.where("entity is not null and code is not null").select(F.concat(F.lit("ent:"), "entity").alias("src"), F.concat(F.lit("sct:"), "code").alias("dst"), F.lit("ANCLADA_A").alias("rel")).distinct()
+    present = anchors.where("code is not null").select("code").distinct()
+    both = links.join(present.withColumnRenamed("code", "child"), "child", "left_semi").join(present.withColumnRenamed("code", "parent"), "parent", "left_semi")
+    return tied.unionByName(both.select(F.concat(F.lit("sct:"), "child").alias("src"), F.concat(F.lit("sct:"), "parent").alias("dst"), F.lit("IS_A").alias("rel")).distinct())
+
+
+def flat_edges(facts: DataFrame) -> DataFrame:
+    """Entity-to-entity edges (src, dst, n) without the facts between: from each entity of a fact to the next, in the fact's order.
+
+    ``facts``: (id, entities array).
+    """
+    pairs = facts.where("size(entities) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.size("entities") - 1), lambda i: F.struct(F.element_at("entities", i).alias("src"), F.element_at("entities", i + 1).alias("dst")))).alias("p"))
+    return pairs.select("p.src", "p.dst").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))

@@ -144,22 +144,64 @@ def first_of_level(spark, d):
     return t.withColumn("n", F.row_number().over(Window.partitionBy("nivel").orderBy("clave"))).where("n <= 5")
 
 
+def _norms(spark, d):
+    r = chunking.recommendations(_chunks(spark, d, "guia", "fecha_vigencia", "seccion", "pagina", "texto"))
+    return r.select("id", "chunk_id", tx.tokens(F.col("texto")).alias("words"))
+
+
+def recommendation_edges(spark, d):
+    named = table(spark, d, "chunks").select(F.explode(F.array_distinct("farmacos")).alias("entity")).where("entity is not null").distinct()
+    return graph.recommendation_edges(_norms(spark, d), named)
+
+
+def concept_edges(spark, d):
+    """Terms anchored to their codes, and is-a links between parents of the hierarchy's first codes that are anchored as well."""
+    t = table(spark, d, "terminos").where("sctid is not null").select(F.col("term_norm").alias("entity"), F.col("sctid").alias("code")).distinct()
+    return graph.concept_edges(t, _links(spark, d))
+
+
+def flat_graph(spark, d):
+    c = table(spark, d, "chunks").where("chunk_id is not null").select(F.col("chunk_id").alias("id"), F.col("farmacos").alias("entities")).distinct()
+    return graph.flat_edges(c)
+
+
+def hitl_trigger(spark, d):
+    """Questions that go to a human: serious decisions, or a patient's without a figure."""
+    q = table(spark, d, "messages").where("role = 'medico' and content is not null").select("id", "content").distinct()
+    r = tx.route(F.col("content"))
+    return q.select("id", (r["decision_seria"] | ((r["tipo_consulta"] == "paciente") & ~r["logica_numerica"])).alias("hitl"), tx.is_class_question(F.col("content")).alias("clase"))
+
+
+def seeded_sample(spark, d):
+    """Twenty messages of each role by a seeded hash of their id: the same whatever the partitions."""
+    m = table(spark, d, "messages").where("role is not null").select("id", "role").distinct()
+    return m.withColumn("n", F.row_number().over(Window.partitionBy("role").orderBy(F.xxhash64("id", F.lit(13)), "id"))).where("n <= 20").select("id", "role")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (dense_passages, hybrid, judge_pool, scored_rerank, layered_search, question_edges, prompt_context, verdict_merge, next_step, chunk_page, anchor_states, close_terms, guide_sections, cache_keys, type_frequency, first_of_level)
+    for f in (dense_passages, hybrid, judge_pool, scored_rerank, layered_search, question_edges, prompt_context, verdict_merge, next_step, chunk_page, anchor_states, close_terms, guide_sections, cache_keys, type_frequency, first_of_level, recommendation_edges, concept_edges, flat_graph, hitl_trigger, seeded_sample)
 }
 
 
 def _sql():
+    from lumbre.plans.search import _UPS
+    from lumbre.plans.texts import SQL as _TEXTS
+
     from lumbre.plans.records import SQL as records
 
     lens = records["numeric_lens"]
+    recs = _TEXTS["recommendations"]
     return {
         "scored_rerank": f"with {CHUNKS}, {Q}, {_es('a', 50)}, s as (select query_id, id, round(len(list_intersect(list_distinct({analyze_sql('text')}), {analyze_sql('texto')})) / len(list_distinct({analyze_sql('text')})), 5) as score from a join q using (query_id) join c on chunk_id = id) select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from s qualify rank <= 10",
         "prompt_context": f"with {CHUNKS}, {Q}, {_es('a', 8)} select query_id, string_agg('[' || rank || '] ' || coalesce(guia, '?') || ': ' || left(texto, 300), chr(10) order by rank) as contexto from a join c on chunk_id = id group by query_id",
         "verdict_merge": f"with l as ({lens}), n as (select id, count(*) as n from l group by id), m as (select distinct id, veredicto from messages where role = 'asistente' and veredicto is not null) select id, case when coalesce(n, 0) > 0 and veredicto = 'fiel' then 'parcial' else veredicto end as veredicto, coalesce(n, 0) as hallazgos from m left join n using (id)",
         "next_step": "with t as (select distinct thread_id, turn_id, hitl, abstenido, len(list_distinct(coalesce(guias_citadas, []))) as guias, nivel from turns where role = 'asistente' and thread_id is not null) select thread_id, turn_id, guias, case when hitl then 'hitl' when abstenido then 'abstenerse' when nivel >= 3 and guias < 2 then 'reintentar' else 'responder' end as paso from t",
         "chunk_page": f"with {CHUNKS}, w as (select chunk_id, guia, left(texto, 120) as vista, row_number() over (partition by guia order by chunk_id) as n, count(*) over (partition by guia) as total from c where contains(lower(texto), 'cociente')) select * from w where n > 20 and n <= 30",
+        "recommendation_edges": f"with r as ({recs}), w as (select id, unnest(list_distinct({tokens_sql('texto')})) as entity from r), h as (select * from w where entity in (select unnest(farmacos) from chunks) qualify row_number() over (partition by id order by entity) <= 12) select 'chunk:' || regexp_replace(id, '::rec[0-9]+$', '') as src, 'rec:' || id as dst, 'CONTIENE_RECOMENDACION' as rel from r union select 'ent:' || entity, 'rec:' || id, 'MENCIONADA_EN_REC' from h",
+        "concept_edges": f"with {_UPS}, t as (select distinct term_norm, sctid from terminos where sctid is not null and term_norm is not null) select 'ent:' || term_norm as src, 'sct:' || sctid as dst, 'ANCLADA_A' as rel from t union select 'sct:' || child, 'sct:' || parent, 'IS_A' from l where child in (select sctid from t) and parent in (select sctid from t)",
+        "flat_graph": "with c as (select distinct chunk_id, farmacos as f from chunks where chunk_id is not null and len(farmacos) > 1), p as (select f[i] as src, f[i + 1] as dst from (select f, unnest(range(1, len(f))) as i from c)) select src, dst, count(*) as n from p where src <> dst group by src, dst",
+        "hitl_trigger": f"select distinct id, regexp_matches(content, '{_q(tx.SERIOUS)}') or (regexp_matches(content, '{_q(tx.PATIENT)}') and not regexp_matches(content, '{_q(tx.NUMERIC)}')) as hitl, regexp_matches(content, '{_q(tx.CLASS_QUESTION)}') as clase from messages where role = 'medico' and content is not null",
         "anchor_states": "select case when lower(trim(accion)) = 'rechazar' then 'rechazado' when sctid is not null or cui is not null then 'curado' else 'sin_anclar' end as estado, count(*) as n from (select distinct * from anchor_decisions) group by estado",
         "guide_sections": f"with {CHUNKS}, s as (select guia, nullif(regexp_extract(seccion, '^\\s*(\\d{{1,2}}(?:\\.\\d{{1,2}}){{0,3}})', 1), '') as numero from c) select guia, count(distinct numero) as secciones, count(*) as fragmentos from s where numero is not null group by guia",
         "cache_keys": f"with {CHUNKS} select chunk_id, sha1(texto) as clave, regexp_replace(chunk_id, '[^\\p{{L}}\\p{{N}}_\\-]', '', 'g') as fichero from c where texto is not null",
