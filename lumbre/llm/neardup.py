@@ -4,11 +4,13 @@ Every distinct text becomes the set of its word shingles (64-bit hashes). Texts
 a group; the groups travel as packed arrays, each text with a token bitmap and its set size. Within a group a signature
 tree holds OR-combined bitmaps and size ranges, and a dual traversal drops node pairs whose greatest possible overlap
 cannot reach the threshold. What is left is compared exactly. The bounds are exact; only the meeting in a band is
-probabilistic: with 72 bands of 4 rows a pair at similarity 0.5 is missed with probability 0.01, at 0.6 with 0.00005, at 0.8 never.
+probabilistic: a pair exactly at the threshold is missed with probability 0.001; at threshold 0.5 a pair at 0.55 with 0.00004,
+one at 0.6 with 0.0000004, and at threshold 0.8 one at 0.85 with 0.000006.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -22,7 +24,11 @@ from lumbre.sources.store import materialize
 WORD = re.compile(r"[^\W_]+")
 #: 64-bit words of a token bitmap.
 SIGNATURE = 6
-ROWS = 4
+#: Chance that a pair exactly at the threshold shares no band.
+MISS = 0.001
+#: Texts up to which bands have their least number of rows; a row more for every eightfold number, so that unrelated texts
+#: do not meet more and more often.
+FEW = 500_000
 #: Bytes of a shingle's hash that are compared in the end.
 TOKEN = 6
 #: Texts in a leaf of a signature tree, and children of a node.
@@ -31,6 +37,13 @@ FAN = 8
 _MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
 
+def shape(texts: int, threshold: float) -> tuple[int, int]:
+    """Rows and number of bands for so many texts: the chance of a miss at the threshold is the same at every size."""
+    rows = min(8, max(2, round(math.log(16) / math.log(1 / min(threshold, 0.99)))))
+    rows += max(0, math.ceil(math.log(max(1, texts) / FEW, 8)))
+    return rows, math.ceil(math.log(MISS) / math.log(1 - threshold**rows))
+
+
 class _Words(dict):
     """Hashes of words, kept while there are not too many."""
 
@@ -95,7 +108,7 @@ def bitmaps(flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(grid, axis=1).view(np.uint64)
 
 
-def _packets(shingle: int, bands: int, buckets: int):
+def _packets(shingle: int, rows: int, bands: int, buckets: int):
     """Texts to rows (bucket, packed entries)."""
 
     def run(batches):
@@ -117,11 +130,11 @@ def _packets(shingle: int, bands: int, buckets: int):
                 fresh[1:] = (f[1:] != f[:-1]) | (o[1:] != o[:-1])
                 size = np.bincount(o[fresh], minlength=len(some)).astype(np.uint32)
                 bitmap = bitmaps(flat, owner, len(some))
-                mins = min_hashes(flat, starts, bands * ROWS).reshape(bands, ROWS, len(some)).astype(np.uint64)
+                mins = min_hashes(flat, starts, bands * rows).reshape(bands, rows, len(some)).astype(np.uint64)
                 with np.errstate(over="ignore"):
                     key = np.arange(1, bands + 1, dtype=np.uint64)[:, None] * np.uint64(_MULTIPLIERS[4])
-                    for r in range(ROWS):
-                        key = (key ^ mins[:, r]) * np.uint64(_MULTIPLIERS[r])
+                    for r in range(rows):
+                        key = (key ^ mins[:, r]) * np.uint64(_MULTIPLIERS[r % len(_MULTIPLIERS)])
                         key ^= key >> np.uint64(31)
                 key32 = (key >> np.uint64(32)).astype(np.uint32).ravel()
                 at = np.tile(np.arange(len(some), dtype=np.uint8), bands)
@@ -134,8 +147,8 @@ def _packets(shingle: int, bands: int, buckets: int):
                         new[used] = np.arange(len(used))
                         head = np.array([len(used), len(mine)], np.uint32)
                         payload[b].append(b"".join((head.tobytes(), tids[used].tobytes(), size[used].tobytes(), bitmap[used].tobytes(), key32[mine].tobytes(), new[at[mine]].tobytes())))
-            rows = [(b, b"".join(x)) for b, x in enumerate(payload) if x]
-            yield pd.DataFrame({"bucket": pd.Series([r[0] for r in rows], dtype="int32"), "payload": pd.Series([r[1] for r in rows], dtype=object)})
+            made = [(b, b"".join(x)) for b, x in enumerate(payload) if x]
+            yield pd.DataFrame({"bucket": pd.Series([r[0] for r in made], dtype="int32"), "payload": pd.Series([r[1] for r in made], dtype=object)})
 
     return run
 
@@ -289,7 +302,7 @@ def texts_of(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").select("id", F.xxhash64("text").alias("tid"), "text")
 
 
-def similar_classes(df: DataFrame, key: str, text: str, shingle: int = 5, threshold: float = 0.8, bands: int = 72, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, key: str, text: str, shingle: int = 5, threshold: float = 0.8, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, similarity) of different texts with at least the threshold, and membership (id, tid).
 
     a < b are text ids (hashes). Texts of fewer words than a shingle have none and are similar to nothing; null texts and
@@ -297,9 +310,11 @@ def similar_classes(df: DataFrame, key: str, text: str, shingle: int = 5, thresh
     """
     rows = texts_of(df, key, text)
     members = rows.select("id", "tid").distinct()
+    count = rows.count()
+    height, bands = shape(count, threshold)
     if buckets is None:
-        buckets = max(6, -(-rows.count() * bands * 6 // 48_000_000))
-    packets = rows.select("tid", "text").mapInPandas(_packets(shingle, bands, buckets), "bucket int, payload binary")
+        buckets = max(6, -(-count * bands * 6 // 48_000_000))
+    packets = rows.select("tid", "text").mapInPandas(_packets(shingle, height, bands, buckets), "bucket int, payload binary")
     met = packets.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_meet(threshold), "a long, b long").distinct()
     candidates = materialize(met)
     wanted = candidates.select(F.col("a").alias("tid")).unionByName(candidates.select(F.col("b").alias("tid")))

@@ -75,3 +75,11 @@ def test_empty(spark):
     empty = spark.createDataFrame([], "k string, t string")
     assert neardup.similar_rows(empty, "k", "t").count() == 0
     assert neardup.similar_groups(empty, "k", "t").count() == 0
+
+
+def test_shape_keeps_the_chance_of_a_miss():
+    for threshold in (0.5, 0.8):
+        for n in (10, 10**6, 10**9):
+            rows, bands = neardup.shape(n, threshold)
+            assert (1 - threshold**rows) ** bands <= neardup.MISS
+    assert neardup.shape(10**9, 0.5)[0] > neardup.shape(10**5, 0.5)[0] == 4
