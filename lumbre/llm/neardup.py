@@ -22,8 +22,9 @@ from lumbre.operators.components import components
 from lumbre.sources.store import materialize
 
 WORD = re.compile(r"[^\W_]+")
-#: 64-bit words of a token bitmap.
-SIGNATURE = 6
+#: 64-bit words of a token bitmap, and of a sketch of one bit per min-hash.
+SIGNATURE, SKETCH = 4, 3
+WIDTH = SIGNATURE + SKETCH
 #: Chance that a pair exactly at the threshold shares no band.
 MISS = 0.001
 #: Texts up to which bands have their least number of rows; a row more for every eightfold number, so that unrelated texts
@@ -108,6 +109,19 @@ def bitmaps(flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(grid, axis=1).view(np.uint64)
 
 
+def sketches(mins: np.ndarray) -> np.ndarray:
+    """One bit of each of the first min-hashes of every text (columns of ``mins``)."""
+    with np.errstate(over="ignore"):
+        bit = (mins[: SKETCH * 64] * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    return np.ascontiguousarray(np.packbits(bit.T.astype(np.uint8), axis=1)).view(np.uint64)
+
+
+def agreeing(threshold: float) -> int:
+    """Sketch bits that texts at the threshold share at least, but for four standard deviations (a chance of 0.00003)."""
+    m, p = SKETCH * 64, (1 + threshold) / 2
+    return math.floor(m * p - 4 * math.sqrt(m * p * (1 - p)))
+
+
 def _packets(shingle: int, rows: int, bands: int, buckets: int):
     """Texts to rows (bucket, packed entries)."""
 
@@ -129,8 +143,9 @@ def _packets(shingle: int, rows: int, bands: int, buckets: int):
                 fresh = np.ones(len(f), bool)
                 fresh[1:] = (f[1:] != f[:-1]) | (o[1:] != o[:-1])
                 size = np.bincount(o[fresh], minlength=len(some)).astype(np.uint32)
-                bitmap = bitmaps(flat, owner, len(some))
-                mins = min_hashes(flat, starts, bands * rows).reshape(bands, rows, len(some)).astype(np.uint64)
+                mins = min_hashes(flat, starts, max(bands * rows, SKETCH * 64))
+                bitmap = np.concatenate([bitmaps(flat, owner, len(some)), sketches(mins)], axis=1)
+                mins = mins[: bands * rows].reshape(bands, rows, len(some)).astype(np.uint64)
                 with np.errstate(over="ignore"):
                     key = np.arange(1, bands + 1, dtype=np.uint64)[:, None] * np.uint64(_MULTIPLIERS[4])
                     for r in range(rows):
@@ -165,8 +180,8 @@ def _unpack(payloads):
             at += 8 * n
             sizes.append(np.frombuffer(view, np.uint32, n, at))
             at += 4 * n
-            maps.append(np.frombuffer(view, np.uint64, n * SIGNATURE, at).reshape(n, SIGNATURE))
-            at += 8 * SIGNATURE * n
+            maps.append(np.frombuffer(view, np.uint64, n * WIDTH, at).reshape(n, WIDTH))
+            at += 8 * WIDTH * n
             keys.append(np.frombuffer(view, np.uint32, m, at))
             at += 4 * m
             owners.append(np.frombuffer(view, np.uint8, m, at).astype(np.int64) + base)
@@ -176,21 +191,28 @@ def _unpack(payloads):
 
 
 def possible(size_a, map_a, size_b, map_b, threshold: float) -> np.ndarray:
-    """Whether the overlap can reach the threshold: tokens whose bit the other side lacks are certainly not shared."""
+    """Whether the overlap can reach the threshold: tokens whose bit the other side lacks are certainly not shared, and the
+    sketches of what is behind the bitmaps, if anything, agree in enough bits."""
+    near = None
+    if map_a.shape[-1] > SIGNATURE:
+        near = SKETCH * 64 - np.bitwise_count(map_a[..., SIGNATURE:] ^ map_b[..., SIGNATURE:]).sum(-1, dtype=np.int64) >= agreeing(threshold)
+        map_a, map_b = map_a[..., :SIGNATURE], map_b[..., :SIGNATURE]
     most = np.minimum(size_a.astype(np.int64) - np.bitwise_count(map_a & ~map_b).sum(-1, dtype=np.int64), size_b.astype(np.int64) - np.bitwise_count(map_b & ~map_a).sum(-1, dtype=np.int64))
-    return most * (1 + threshold) >= threshold * (size_a.astype(np.int64) + size_b) - 1e-9
+    fits = most * (1 + threshold) >= threshold * (size_a.astype(np.int64) + size_b) - 1e-9
+    return fits if near is None else fits & near
 
 
 class Tree:
     """Signature tree: level 0 are texts, each node above holds an OR-combined bitmap and the range of set sizes below it."""
 
-    def __init__(self, sizes: np.ndarray, maps: np.ndarray, mins: np.ndarray | None = None):
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray):
         self.order = np.lexsort((maps[:, 0], sizes))
         low = high = sizes[self.order].astype(np.int64)
-        m = maps[self.order]
+        full = maps[self.order]
+        m = full[:, :SIGNATURE]
         # tokens that share a bit with another token of their text
         extra = low - np.bitwise_count(m).sum(1, dtype=np.int64)
-        self.levels = [(low, high, m, extra)]
+        self.levels = [(low, high, full, extra)]
         fan = LEAF
         while len(low) > 1:
             cut = np.arange(0, len(low), fan)
