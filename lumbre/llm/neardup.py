@@ -3,8 +3,9 @@
 Every distinct text becomes the set of its word shingles (64-bit hashes). Texts whose min-hashes agree in a band meet in
 a group; the groups travel as packed arrays, each text with a token bitmap and its set size. Within a group a signature
 tree holds OR-combined bitmaps and size ranges, and a dual traversal drops node pairs whose greatest possible overlap
-cannot reach the threshold. What is left is compared exactly. The bounds are exact; only the meeting in a band is
-probabilistic: a pair exactly at the threshold is missed with probability 0.001; at threshold 0.5 a pair at 0.55 with 0.00004,
+cannot reach the threshold; texts whose sketches (one bit per min-hash) differ too much are dropped as well. What is left is
+compared exactly. The bounds of the trees are exact; the sketches lose a pair at the threshold with probability 0.00003, and
+the meeting in a band is probabilistic: a pair exactly at the threshold is missed with probability 0.001; at threshold 0.5 a pair at 0.55 with 0.00004,
 one at 0.6 with 0.0000004, and at threshold 0.8 one at 0.85 with 0.000006.
 """
 
@@ -337,7 +338,15 @@ def similar_classes(df: DataFrame, key: str, text: str, shingle: int = 5, thresh
     if buckets is None:
         buckets = max(6, -(-count * bands * 6 // 48_000_000))
     packets = rows.select("tid", "text").mapInPandas(_packets(shingle, height, bands, buckets), "bucket int, payload binary")
-    met = packets.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_meet(threshold), "a long, b long").distinct()
+    meet = _meet(threshold)
+
+    def each(batches):
+        # a partition is a bucket: by number, since hashing the numbers would put several into one
+        parts = [b["payload"] for b in batches if len(b)]
+        if parts:
+            yield meet(pd.DataFrame({"payload": pd.concat(parts)}))
+
+    met = packets.repartitionById(buckets, F.col("bucket")).mapInPandas(each, "a long, b long").distinct()
     candidates = materialize(met)
     wanted = candidates.select(F.col("a").alias("tid")).unionByName(candidates.select(F.col("b").alias("tid")))
     bits = filter_of(wanted, "tid")
