@@ -33,6 +33,8 @@ MISS = 0.001
 FEW = 500_000
 #: Bytes of a shingle's hash that are compared in the end.
 TOKEN = 6
+#: Parts of a bucket's keys that are gone through one after the other.
+KEY_PARTS = 8
 #: Texts in a leaf of a signature tree, and children of a node.
 LEAF = 16
 FAN = 8
@@ -185,7 +187,7 @@ def _unpack(payloads):
             at += 8 * WIDTH * n
             keys.append(np.frombuffer(view, np.uint32, m, at))
             at += 4 * m
-            owners.append(np.frombuffer(view, np.uint8, m, at).astype(np.int64) + base)
+            owners.append(np.frombuffer(view, np.uint8, m, at).astype(np.uint32) + np.uint32(base))
             at += m
             base += n
     return tuple(map(np.concatenate, (tids, sizes, maps, keys, owners)))
@@ -258,32 +260,13 @@ def _meet(threshold: float):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         tids, sizes, maps, keys, owners = _unpack(part["payload"])
         tid, first, inverse = np.unique(tids, return_index=True, return_inverse=True)
-        sizes, maps, who = sizes[first], maps[first], inverse[owners]
-        code = (keys.astype(np.uint64) << np.uint64(32)) | who.astype(np.uint64)
-        code = np.unique(code)
-        keys, who = (code >> np.uint64(32)), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        length = np.diff(np.append(start, len(keys)))
-        small = (length > 1) & (length <= LEAF)
-        found = []
-        for n in range(2, LEAF + 1):
-            at = start[small & (length == n)]
-            if len(at):
-                i, j = np.triu_indices(n, 1)
-                for lo in range(0, len(at), 100_000):
-                    members = who[at[lo : lo + 100_000, None] + np.arange(n)]
-                    a, b = np.unique(np.stack([members[:, i].ravel(), members[:, j].ravel()]), axis=1) if n > 2 else (members[:, 0], members[:, 1])
-                    ok = possible(sizes[a], maps[a], sizes[b], maps[b], threshold)
-                    found.append((a[ok].astype(np.uint64) << np.uint64(32)) | b[ok].astype(np.uint64))
-        seen = set()
-        for s, n in zip(start[length > LEAF], length[length > LEAF]):
-            members = who[s : s + n]
-            mark = xxhash.xxh3_128_digest(members.tobytes())
-            if mark not in seen:
-                seen.add(mark)
-                for a, b in Tree(sizes[members], maps[members]).pairs(threshold):
-                    a, b = members[a], members[b]
-                    found.append((np.minimum(a, b).astype(np.uint64) << np.uint64(32)) | np.maximum(a, b).astype(np.uint64))
+        sizes, maps, who = sizes[first], maps[first], inverse.astype(np.uint32)[owners]
+        del tids, first, inverse, owners
+        found, seen = [], set()
+        # a part of the keys at a time, to need little memory
+        for part in range(KEY_PARTS):
+            mine = keys % np.uint32(KEY_PARTS) == part
+            found += _groups(keys[mine], who[mine], sizes, maps, threshold, seen)
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
         return pd.DataFrame({"a": tid[(pairs >> np.uint64(32)).astype(np.int64)], "b": tid[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]})
 
@@ -320,6 +303,35 @@ def in_filter(bits: np.ndarray, ids: pd.Series) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
+def _groups(keys: np.ndarray, owners: np.ndarray, sizes: np.ndarray, maps: np.ndarray, threshold: float, seen: set) -> list[np.ndarray]:
+    """Coded pairs (smaller text above, larger below) of all groups of equal keys; a group of the same texts is searched once."""
+    code = np.unique((keys.astype(np.uint64) << np.uint64(32)) | owners.astype(np.uint64))
+    keys, who = (code >> np.uint64(32)), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    length = np.diff(np.append(start, len(keys)))
+    small = (length > 1) & (length <= LEAF)
+    found = []
+    for n in range(2, LEAF + 1):
+        at = start[small & (length == n)]
+        if len(at):
+            i, j = np.triu_indices(n, 1)
+            for lo in range(0, len(at), 20_000):
+                members = who[at[lo : lo + 20_000, None] + np.arange(n)]
+                # members are in ascending order
+                pairs = np.unique((members[:, i].ravel().astype(np.uint64) << np.uint64(32)) | members[:, j].ravel().astype(np.uint64))
+                a, b = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                found.append(pairs[possible(sizes[a], maps[a], sizes[b], maps[b], threshold)])
+    for s, n in zip(start[length > LEAF], length[length > LEAF]):
+        members = who[s : s + n]
+        mark = xxhash.xxh3_128_digest(members.tobytes())
+        if mark not in seen:
+            seen.add(mark)
+            for a, b in Tree(sizes[members], maps[members]).pairs(threshold):
+                a, b = members[a], members[b]
+                found.append((np.minimum(a, b).astype(np.uint64) << np.uint64(32)) | np.maximum(a, b).astype(np.uint64))
+    return found
+
+
 def texts_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (id, tid, text) with non-null id and text; equal texts have equal tid."""
     return df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").select("id", F.xxhash64("text").alias("tid"), "text")
