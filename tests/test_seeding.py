@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumbre.functions import providers, text as tx
 from lumbre.operators import seeding
+from tests.test_operators import dense_pagerank
 
 
 def unit(r, n, d=6):
@@ -55,3 +56,23 @@ def test_providers(spark):
     assert df.select(providers.overlap_scorer(F.col("x"), F.lit("metformina")).alias("s")).first().s == 0.5
     one = spark.createDataFrame([("A + C+D",)], "x string").select(tx.split_labels(F.col("x"), {"A": "a1", "D": "d1"}).alias("c"), tx.verbalized(F.lit("x"), F.lit("mejora"), F.lit(None).cast("string"), F.lit("y" * 400)).alias("v"), tx.has_all(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"))).alias("h")).first()
     assert one.c == ["a1", "d1"] and one.v == "x mejora " + "y" * 300 and one.h
+
+
+def test_search_modulates_every_fact(spark):
+    r = np.random.default_rng(4)
+    q, f = unit(r, 2), unit(r, 450)
+    ents = [[f"ent:{i % 7}", f"ent:{i % 3}"] if i % 50 else [] for i in range(450)]
+    edges = [(e, f"fact:{i}", 1.0) for i in range(450) for e in dict.fromkeys(ents[i])] + [(f"fact:{i}", f"chunk:{i % 40:02d}", 1.0) for i in range(450)] + [("chunk:03", "ent:1", 0.5)]
+    seeds = {0: {"ent:0": 2.0, "chunk:03": 1.0}, 1: {"ent:4": 1.0, "ent:5": 0.5}}
+    got = seeding.search(
+        spark.createDataFrame([(i, q[i].tolist()) for i in range(2)], "query_id int, v array<double>"),
+        spark.createDataFrame([(f"fact:{i}", f[i].tolist(), ents[i]) for i in range(450)], "id string, v array<double>, entities array<string>"),
+        spark.createDataFrame(edges, "src string, dst string, weight double"),
+        spark.createDataFrame([(i, n, w) for i, s in seeds.items() for n, w in s.items()], "query_id int, node string, weight double"),
+        100,
+    ).collect()
+    for i, s in seeds.items():
+        factor = {f"fact:{j}": 0.25 + 0.75 * float(np.clip(x, 0, 1)) for j, x in enumerate(f @ q[i])}
+        want = {n[6:]: x for n, x in dense_pagerank(edges, s, 0.5, 8, factor).items() if n.startswith("chunk:") and x > 0}
+        have = {x.id: x.score for x in got if x.query_id == i}
+        assert have.keys() == want.keys() and max(abs(have[n] - x) for n, x in want.items()) < 2e-6
