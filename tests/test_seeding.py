@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumbre.functions import providers, text as tx
-from lumbre.operators import seeding
+from lumbre.operators import retrieval, seeding
+from lumbre.plans import search
 from tests.test_operators import dense_pagerank
 
 
@@ -76,3 +77,20 @@ def test_search_modulates_every_fact(spark):
         want = {n[6:]: x for n, x in dense_pagerank(edges, s, 0.5, 8, factor).items() if n.startswith("chunk:") and x > 0}
         have = {x.id: x.score for x in got if x.query_id == i}
         assert have.keys() == want.keys() and max(abs(have[n] - x) for n, x in want.items()) < 2e-6
+
+
+def test_modulated_by_all_lexical_scores(spark, tmp_path):
+    # 260 chunks share a word with the question, 60 none; the chunks of one drug are far more than 100
+    texts = {f"c{i:03d}": ("otra cosa sin nada" if i % 16 in (3, 7, 11) else "dosis de metformina " + "recuento " * (i % 13) + "pauta " * (i % 5)) for i in range(320)}
+    named = {c: ["metformina"] if i % 3 else ["metformina", "insulina"] for i, c in enumerate(texts)}
+    spark.createDataFrame([(c, t, named[c], "g") for c, t in texts.items()], "chunk_id string, texto string, farmacos array<string>, guia string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(100, "medico", "dosis y recuento de la metformina")], "id long, role string, content string").write.parquet(f"{tmp_path}/messages.parquet")
+    got = {x.id: x.score for x in search.ppr_modulated(spark, str(tmp_path)).collect()}
+    scores = {x.id: x.score for x in retrieval.bm25(search.questions(spark, str(tmp_path)), search.passages(spark, str(tmp_path)), 1000, places=9).collect()}
+    assert 100 < len(scores) < 320
+    factor = {f"chunk:{c}": 0.25 + 0.75 * scores.get(c, 0) / max(scores.values()) for c in texts}
+    edges = [x for c, e in named.items() for n in e for x in ((f"ent:{n}", f"chunk:{c}", 1.0), (f"chunk:{c}", f"ent:{n}", 1.0))]
+    want = {n[6:]: x for n, x in dense_pagerank(edges, {"ent:metformina": 1.0}, 0.5, 60, factor).items() if n.startswith("chunk:")}
+    least = sorted(want.values())[-10]
+    # the tolerance is 1e-4 over all nodes of a query
+    assert len(got) == 10 and all(abs(x - want[c]) < 2e-5 and want[c] > least - 2e-5 for c, x in got.items())
