@@ -175,11 +175,33 @@ def resolve(links: DataFrame, child: str = "hijo", parent: str = "padre", paths:
 def closure(resolved: DataFrame) -> DataFrame:
     """Rows (ancestor, node, distance), distance 0 for the node itself, from a result of :func:`resolve` with paths.
 
-    Codes on loops or behind them have no path and give no rows. The size is the sum of all depths, as the closure demands.
+    Codes on loops or behind them have no path and give no rows here, but in :func:`closure_of`. The size is the sum of all
+    depths, as the closure demands.
     """
     return resolved.where("path is not null").select("node", F.size("path").alias("n"), F.posexplode("path").alias("at", "ancestor")).select("ancestor", "node", (F.col("n") - 1 - F.col("at")).cast("long").alias("distance"))
 
 
+def closure_of(links: DataFrame, child: str = "hijo", parent: str = "padre", fragment: int = FRAGMENT) -> DataFrame:
+    """Rows (ancestor, node, distance) of all codes, distance 0 for the node itself, also of those on and behind loops.
+
+    All codes on a loop are each other's ancestors and descendants, and whatever hangs below one of them is a descendant of all;
+    the distance is the number of steps up until the ancestor is met for the first time. Each loop is cut above its smallest
+    code, which makes a tree of what hangs there; the part of the loop that lies beyond the cut is added to its paths.
+    """
+    whole = materialize(resolve(links, child, parent, True, fragment))
+    tied = whole.where("depth < 0").select("node", "root", "depth")
+    kept = nodes_of(links, child, parent).join(tied, "node").select("node", F.when(F.col("node") != F.col("root"), F.col("ptr")).alias("ptr"))
+    cut = materialize(closure(resolve(kept, "node", "ptr", True, fragment)))
+    # place of a code of a loop below the cut, and how many there are
+    on = cut.join(tied.where("depth = -1 and node <> root"), "node").where("ancestor = root").select("node", "root", F.col("distance").alias("place"))
+    on = materialize(on.unionByName(tied.where("depth = -1 and node = root").select("node", "root", F.lit(0).cast("long").alias("place"))))
+    size = on.groupBy("root").agg(F.count("*").alias("size"))
+    # the last code of the loop on each path: the others of the loop lie beyond the cut
+    entry = cut.join(on.withColumnRenamed("node", "ancestor"), "ancestor").groupBy("node", "root").agg(F.max("place").alias("last"), F.max("distance").alias("up"))
+    rest = entry.join(size, "root").join(on.select(F.col("node").alias("ancestor"), "root", "place"), "root").where("place > last")
+    return closure(whole).unionByName(cut).unionByName(rest.select("ancestor", "node", (F.col("up") + F.col("size") - F.col("place")).alias("distance")))
+
+
 def descendants(resolved: DataFrame) -> DataFrame:
     """Rows (node, descendants, height): how many codes lie below each and how far down the lowest is."""
     return closure(resolved).groupBy(F.col("ancestor").alias("node")).agg((F.count("*") - 1).alias("descendants"), F.max("distance").alias("height"))

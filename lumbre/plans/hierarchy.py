@@ -21,7 +21,13 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return below.select(F.col("node").alias("nodo"), F.col("descendants").alias("descendientes"), F.col("height").alias("altura"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants}
+def p3_closure(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of every concept, those on and behind loops included; a concept is its own at distance 0."""
+    below = forest.closure_of(table(spark, d, "jerarquia").select("hijo", "padre"))
+    return below.select(F.col("ancestor").alias("nodo"), F.col("node").alias("descendiente"), F.col("distance").alias("distancia"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_closure": p3_closure}
 
 _NODES = r"""
 links as (select distinct regexp_replace(hijo, '^\s+|\s+$', '', 'g') as h, nullif(regexp_replace(coalesce(padre, ''), '^\s+|\s+$', '', 'g'), '') as p from jerarquia

@@ -55,3 +55,25 @@ def test_descendants(spark):
     links = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "a")], "hijo string, padre string")
     below = forest.descendants(forest.resolve(links, paths=True))
     assert {tuple(x) for x in below.collect()} == {("a", 3, 2), ("b", 1, 1), ("c", 0, 0), ("d", 0, 0)}
+
+
+@pytest.mark.parametrize("seed,fragment", [(1, 10_000), (2, 7)])
+def test_closure_with_loops(spark, seed, fragment):
+    r = random.Random(seed)
+    links = [(f"c{i:02d}", f"c{max(0, i - r.randint(1, 4)):02d}") for i in range(1, 40)]
+    links += [("x3", "x1"), ("x1", "x4"), ("x4", "x2"), ("x2", "x3"), ("y1", "x4"), ("y2", "y1"), ("y3", " x2 "), ("y4", "y3"), ("z", "z"), ("v", "z"), ("b2", "b1"), ("b1", "b2"), (None, "x1"), ("x1", "x4")]
+    parent = {}
+    for h, p in links:
+        if h:
+            parent[h] = p.strip()
+    want = set()
+    for n in {*parent, *parent.values()}:
+        x, seen = n, []
+        while x is not None and x not in seen:
+            want.add((x, n, len(seen)))
+            seen.append(x)
+            x = parent.get(x)
+    r.shuffle(links)
+    got = [tuple(x) for x in forest.closure_of(spark.createDataFrame(links, "hijo string, padre string"), fragment=fragment).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert ("x1", "y2", 5) in want and ("z", "v", 1) in want
