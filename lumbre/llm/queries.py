@@ -71,10 +71,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs free of noise of the documents of blocks and of every chunk, which is a document by itself (doc_id = chunk_id)."""
     rows = _scanned(spark, d)
-    blocks = table(spark, d, "blocks").where("doc_id is not null")
-    done = scans.clean(blocks, "texto", ["doc_id", "ord"], scans.lexicon(rows, "texto"), "size_max")
-    return scans.paragraphs(done, "doc_id", "ord", "repaired").select("doc_id", F.col("number").alias("parrafo"), F.col("text").alias("texto"))
+    lex = scans.lexicon(rows, "texto")
+    blocks = scans.clean(table(spark, d, "blocks").where("doc_id is not null"), "texto", ["doc_id", "ord"], lex, "size_max")
+    chunks = scans.clean(table(spark, d, "chunks").where("chunk_id is not null").select("chunk_id", "texto").distinct(), "texto", ["chunk_id"], lex)
+    made = scans.paragraphs(blocks, "doc_id", "ord", "repaired").select(F.lit("blocks").alias("origen"), "doc_id", "number", "text")
+    made = made.unionByName(scans.passage_paragraphs(chunks, "chunk_id", "repaired").select(F.lit("chunks").alias("origen"), F.col("chunk_id").alias("doc_id"), "number", "text"))
+    return made.select("origen", "doc_id", F.col("number").alias("parrafo"), F.col("text").alias("texto"))
 
 
 def _topics(spark: SparkSession, d: str) -> DataFrame:

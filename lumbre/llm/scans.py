@@ -325,3 +325,12 @@ def paragraphs(blocks: DataFrame, document: str, order: str, text: str, block: i
     numbered = started.withColumn("n", F.sum("start").over(w)).join(offset, ["d", "run"]).select("d", (F.col("n") + F.col("offset")).alias("n"), "o", "t")
     joined = numbered.groupBy("d", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda p: p["t"]), " ").alias("t"))
     return joined.select(F.col("d").alias(document), F.col("n").cast("long").alias("number"), F.col("t").alias("text"))
+
+
+def passage_paragraphs(passages: DataFrame, passage: str, text: str) -> DataFrame:
+    """Repaired passages, each by itself, as paragraphs: rows (passage, number, text), number from 1.
+
+    A passage is divided at its blank lines; a repeated passage counts once, as do repeated blocks.
+    """
+    once = passages.select(passage, text).where(f"`{passage}` is not null").groupBy(passage).agg(F.min(text).alias(text))
+    return paragraphs(once.select(passage, F.posexplode(F.split(text, "\n{2,}")).alias("__place", text)), passage, "__place", text)

@@ -62,3 +62,16 @@ def test_operator(spark):
 
 def test_reflow():
     assert scans.reflow("uno\ndos\n\ntres\n- a\n- b\n3.1 Título\ncuatro") == "uno dos\n\ntres\n- a\n- b\n3.1 Título\ncuatro"
+
+
+def test_paragraphs_of_chunks(spark, tmp_path):
+    from lumbre.llm import queries
+
+    good = " ".join(BASE)
+    noisy = "La pauta de res-\ncate alcanzó la supresión\n\nPágina 12\n\nen pacientes mayores.\n\nSe aconseja añadir\nmetformina."
+    chunks = [(f"g{i}", good, "g") for i in range(60)] + [("k", noisy, "g"), ("k", noisy, "g"), (None, good, "g"), ("n", None, "g")]
+    spark.createDataFrame(chunks, "chunk_id string, texto string, guia string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([("d", 1, good, 9.0)], "doc_id string, ord int, texto string, size_max double").write.parquet(f"{tmp_path}/blocks.parquet")
+    made = queries.p7_paragraphs(spark, str(tmp_path)).collect()
+    assert {(r.parrafo, r.texto) for r in made if r.doc_id == "k"} == {(1, "La pauta de rescate alcanzó la supresión en pacientes mayores."), (2, "Se aconseja añadir metformina.")}
+    assert len(made) == 63 and {r.origen for r in made if r.doc_id == "d"} == {"blocks"}
