@@ -11,8 +11,8 @@ class Boosted:
     Fitting takes a bounded sample (the caller's parameter); scoring is vectorised and the fitted object is a few kilobytes.
     """
 
-    def __init__(self, rounds: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 32, l2: float = 1.0):
-        self.rounds, self.depth, self.rate, self.bins, self.l2 = rounds, depth, rate, bins, l2
+    def __init__(self, rounds: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 32, l2: float = 1.0, beta: float = 1.0):
+        self.rounds, self.depth, self.rate, self.bins, self.l2, self.beta = rounds, depth, rate, bins, l2, beta
 
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, i], side="right") for i, e in enumerate(self.edges)], axis=1).astype(np.int32) if x.shape[1] else np.zeros(x.shape, np.int32)
@@ -69,7 +69,8 @@ class Boosted:
         return node
 
     def _calibrate(self, s: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling on the held-out rows by a few Newton steps, then the probability with the best F1 as threshold."""
+        """Platt scaling on the held-out rows by a few Newton steps, then the probability with the best F measure as
+        threshold; ``beta`` above 1 weighs recall more."""
         a, c = 1.0, 0.0
         if len(y) >= 20 and 0 < y.sum() < len(y):
             t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
@@ -82,8 +83,9 @@ class Boosted:
                 a, c = a + np.clip(step[0], -1, 1), c + np.clip(step[1], -2, 2)
         self.a, self.c = max(a, 1e-2), c
         q = 1 / (1 + np.exp(-(self.a * s + self.c)))
-        grid = np.linspace(0.2, 0.8, 25)
-        f1 = [2 * ((q >= v) & (y > 0)).sum() / max(1, (q >= v).sum() + (y > 0).sum()) for v in grid]
+        grid = np.linspace(0.2 if self.beta <= 1 else 0.08, 0.8, 31)
+        w = self.beta**2
+        f1 = [(1 + w) * ((q >= v) & (y > 0)).sum() / max(1, (q >= v).sum() + w * (y > 0).sum()) for v in grid]
         best = [v for v, f in zip(grid, f1) if f >= max(f1) - 1e-9] if len(y) else [0.5]
         self.threshold = float(min(best, key=lambda v: abs(v - 0.5)))
         self.held_f1 = float(max(f1)) if len(y) else float("nan")
