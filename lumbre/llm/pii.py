@@ -89,7 +89,7 @@ _SURNAME = re.compile(r"(?:ez|az|iz|oz|eda|ero|era|ano|ana|ino|ales|ares|ado|án
 _SCIENTIFIC = re.compile(r"(?:virus|ium|coco|coccus|cocos|ella|bacter|bacteria|myces|plasma|monas|spora|oma|itis|osis|emia|mab|vir|cilina|micina|prazol|statina|tidina|vudina|gravir|navir|olol|pina|sartán)$", re.I)
 _CUE_SETS = {k: frozenset(v) for k, v in CUES.items()}
 _NOT_PERSONAL, _TITLES = frozenset(NOT_PERSONAL), frozenset(TITLES)
-_OPENING = frozenset(w.rstrip(".") for words in (*CUES.values(), TITLES, NOT_PERSONAL, BODIES) for w in words)
+_OPENING = frozenset(w.rstrip(".") for words in (*CUES.values(), TITLES, NOT_PERSONAL) for w in words)
 _BEFORE = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?\.?ª?|\d+|[^\w\s]")
 _LOWERCASE = re.compile(rf"(?<!\w)[{L}]{{2,}}(?!\w)")
 _CAPITAL = re.compile(rf"(?<=[{L},] )[{U}][{L}]+(?!\w)")
@@ -103,7 +103,7 @@ def _place(word: str) -> int:
 def _prior() -> Counter:
     """Words in lower case of the pieces of sentences below: they count along, so that a small collection knows the commonest."""
     words = [w for pieces in (*BEGIN.values(), END, NAME_END, OTHERS) for p in pieces for w in _LOWERCASE.findall(p)]
-    return Counter(_place(w) for w in [*words, *_OPENING, *_STOP] for _ in range(16))
+    return Counter(_place(w) for w in [*words, *_OPENING, *_STOP, *BODIES] for _ in range(16))
 
 
 def prior_shares() -> np.ndarray:
@@ -227,7 +227,7 @@ def features(kind: str, text: str, start: int, end: int, shares: np.ndarray) ->
 
 def _opens(word: str, shares: np.ndarray) -> bool:
     """Whether a capitalised word may be an ordinary one that only begins a sentence or announces a name."""
-    return word not in _GIVEN and (word in _STOP or word in _OPENING or shares[_place(word)] >= 3)
+    return word not in _GIVEN and word not in BODIES and (word in _STOP or word in _OPENING or shares[_place(word)] >= 3)
 
 
 def propose(text: str, shares: np.ndarray) -> list[tuple[str, int, int]]:
@@ -335,7 +335,7 @@ OTHERS = [
     # numbers and codes that belong to nobody
     "El lote {d9} caduca en 20{d2}.", "Cepa número {d8} conservada.", "Partida {d6} retirada.", "Modelo {d7} del aparato.", "Norma {d3}/20{d2}.", "Expedición {d8}.", "Código nacional {d6}.", "Concepto {d9} del vocabulario.", "Identificador de producto {d8}.", "Número de serie {d10}.", "EudraCT 20{d2}-{d6}-{d2}.", "NCT{d8} terminó antes.", "PMID {d8}.", "doi 10.{d4}/{d6}.", "Secuencia MN{d6} depositada.", "Muestra T{d6} congelada.", "ISSN {d4}-{d4}.", "Se contaron {d6} células.", "{d3}.{d3} copias por mililitro.", "Entre {d4} y {d4} casos.", "Coste de {d2}.{d3} euros.", "El {d2}/{d2}/20{d2} se revisó.", "El pedido {d9} llegó tarde.", "Albarán {d8}.", "Carga viral {d5} copias/ml.", "Periodo 20{d2}-20{d2}.", "Nota {d2}-{d3}-{d3} del archivo.", "Valor de {d3} {d3} unidades.", "Registro sanitario {d2}.{d3}.", "Versión {d1}.{d2}.{d3}.", "ISBN {d3}-{d2}-{d5}-{d1}.", "Versión del documento {d2}.", "Trial {d8} was stopped.", "Referencia {d7}-{d2}.", "Código C{d7}.", "Escala: cinco, siete y tres puntos.", "Repita dos, tres o cuatro veces.",
     # words of addresses without an address
-    "Salió a la calle sin abrigo.", "La plaza quedó vacante.", "Un paseo corto cada tarde.", "Por vía subcutánea {d2} mg.", "Vía venosa {d1} de calibre.", "El camino de la recuperación es largo.", "Trabaja en la carretera.", "El barrio mejoró su cobertura.", "Una ronda de preguntas a las {d2}.", "Ronda clínica {d1}.", "La avenida de tratamientos está abierta.", "Vive solo y en la calle no conoce a nadie.", "La vía aérea está libre.", "En la plaza de guardia hay {d1} médicos.", "Vía oral, {d1} dosis.", "Paseo de {d2} minutos.", "Camino asistencial {d2} revisado.", "Ocupa una plaza de interino desde hace {d1} años.", "Hay plazas: la plaza de adjunto de {d2} horas.", "Caminó calle abajo {d2} metros.", "Un camino de {d2} km.", "Ronda de preguntas de {d2} minutos.", "La carretera de {d1} carriles.", "Bulevar, paseo o camino: {d1} opciones.", "Plaza de internista de {d2} años.", "Vía de acceso de {d1} cm.",
+    "Salió a la calle sin abrigo.", "La plaza quedó vacante.", "Un paseo corto cada tarde.", "Por vía subcutánea {d2} mg.", "Vía venosa {d1} de calibre.", "El camino de la recuperación es largo.", "Trabaja en la carretera.", "El barrio mejoró su cobertura.", "Una ronda de preguntas a las {d2}.", "Ronda clínica {d1}.", "La avenida de tratamientos está abierta.", "Vive solo y en la calle no conoce a nadie.", "La vía aérea está libre.", "En la plaza de guardia hay {d1} médicos.", "Vía oral, {d1} dosis.", "Paseo de {d2} minutos.", "Camino asistencial {d2} revisado.", "Ocupa una plaza de interino desde hace {d1} años.", "Hay plazas: la plaza de adjunto de {d2} horas.", "Caminó calle abajo {d2} metros.", "Un camino de {d2} km.", "Ronda de preguntas de {d2} minutos.", "La carretera de {d1} carriles.", "Bulevar, paseo o camino: {d1} opciones.", "Plaza de internista de {d2} años.", "Vía de acceso de {d1} cm.", "Un paseo lento de {d2} minutos.", "Caminos largos: camino nuevo de {d2} km.", "Vía distinta de {d2} meses.", "Ronda larga de {d2} horas.",
     # talk about a type without a value
     "El teléfono no consta.", "No dejó correo.", "Correo sin confirmar: falta@", "Mencione a @equipo en el chat.", "{d3} mg @ {d1} h.", "Faltan el DNI y la firma.", "El pasaporte está caducado.", "La historia clínica no se encuentra.", "Sin domicilio conocido.", "Su nombre no figura.", "Firma y sello.", "El paciente prefiere no decir su nombre.", "[NOMBRE] no acudió.", "Enviar a [EMAIL] o a [TELEFONO].", "Vive en [DIRECCION].", "La señora no recuerda el nombre.", "Pesa {d2} kg, una arroba menos.", "Nombre comercial: {W}.", "Se llama así al síndrome.", "Según el informe, todo sigue igual.", "Le atiende el médico de siempre.",
     # capitals that are no persons
@@ -501,7 +501,7 @@ def fit(sample: int = SAMPLE, seed: int = 11, shares: np.ndarray | None = None)
                 marks[kind].append(good)
         if all(len(rows[k]) >= wanted[k] for k in TYPES):
             break
-    return {k: Boosted(rounds=90, depth=6, beta=1.5).fit(np.array(rows[k], float), np.array(marks[k])) if k == "NOMBRE" else Boosted(rounds=30).fit(np.array(rows[k], float), np.array(marks[k])) for k in TYPES}
+    return {k: Boosted(rounds=110, depth=4, l2=5.0, beta=2.5).fit(np.array(rows[k], float), np.array(marks[k])) if k == "NOMBRE" else Boosted(rounds=30).fit(np.array(rows[k], float), np.array(marks[k])) for k in TYPES}
 
 
 def find(texts: list[str], model: dict[str, Boosted], shares: np.ndarray | None = None) -> list[list[tuple[str, int, int]]]:

@@ -15,8 +15,8 @@ def test_boosted_trees_learn():
 
 @pytest.fixture(scope="module")
 def model(spark):
-    """Trees and the table of words in lower case of the smallest tables."""
-    rows = spark.read.parquet("/root/testdata/sf0.001/messages.parquet").select("content").unionByName(spark.read.parquet("/root/testdata/sf0.001/chunks.parquet").selectExpr("texto as content"))
+    """Trees and the table of words in lower case of two small tables."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/messages.parquet").select("content").unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("text as content"))
     shares = pii.case_shares(rows, "content")
     return pii.fit(shares=shares), shares
 
