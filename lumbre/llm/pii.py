@@ -33,6 +33,9 @@ _DOT = r"(?:\.|\s*(?:\(punto\)|\[punto\]|\[dot\]|\(dot\))\s*|\s+(?:punto|DOT|dot
 _EMAIL = re.compile(rf"(?:mailto:\s*)?[\w][\w.+\-]*{_AT}[\w\-]*(?:{_DOT}[\w\-]+)*|[\w][\w.+\-]*[\w]\s+en\s+[\w\-]+(?:\.[\w\-]+)*\.[a-z]{{2,}}\b")
 #: Where an address sign may be; the address around it is matched from there.
 _SIGN = re.compile(r"[@＠]|\barroba\b|\bAT\b|[\[({]\s*(?:at|a)\s*[\])}]|\sen\s+[\w\-]+(?:\.[\w\-]+)*\.[a-z]{2,}")
+#: Six figures with at most separators between them; without these there is no number to propose.
+_FIGURES = re.compile(r"\d[\d. ·/\-]{5}")
+_DOTTED = re.compile(r"\w\.[a-z]{2}")
 _NUMBER = re.compile(r"(?<![\w.,])(?:(?:\(\+\s?\d{1,3}\)|\+\s?\d{1,3})[ .·/\-]*|\(\d{2,4}\)[ .·/\-]*)?\d(?:[ .·/\-]{0,2}\d){4,}(?:\s*\(prefijo\s*\d{2,4}\)|\s*,?\s*ext\.?\s*\d{1,5})?(?![\d])")
 _SPELLED = re.compile(rf"\b{_DIGIT_WORD}(?:[ ,\-]+{_DIGIT_WORD}){{5,}}\b", re.I)
 _CODE = re.compile(
@@ -44,7 +47,7 @@ _STREET = (
 #: A place name behind an address: capitals, or the last word of a clause where all is in small letters.
 _TOWN = rf"[{U}][\w'\-]*(?:\s+(?i:de|de\s+la|de\s+los|del)?\s*[{U}][\w'\-]*){{0,2}}"
 _PLACE = re.compile(
-    rf"(?<![\w]){_STREET}\s*(?i:(?:de\s+las?\s+|de\s+los\s+|del\s+|de\s+|d[e']?l?\s*)?(?:(?:doctora?|dra?\.|santa|santo|san|general|maestro|profesora?)\s+)?)[{U}{L}][\w'\-]*\.?(?:\s+(?!(?i:n\.|nº|núm|s/n|esc|pta|bajo))[{U}{L}][\w'\-]*){{0,3}}"
+    rf"(?=[AaBbCcGgPpRrTtUuVv])(?<!\w){_STREET}\s*(?i:(?:de\s+las?\s+|de\s+los\s+|del\s+|de\s+|d[e']?l?\s*)?(?:(?:doctora?|dra?\.|santa|santo|san|general|maestro|profesora?)\s+)?)[{U}{L}][\w'\-]*\.?(?:\s+(?!(?i:n\.|nº|núm|s/n|esc|pta|bajo))[{U}{L}][\w'\-]*){{0,3}}"
     rf"(?i:\s*,?\s*(?:n\.\s?º|nº|n°|núm\.?|número|no\.)?\s*\d{{1,4}}(?!\d)(?:\s?(?:bis|[A-Z](?![\w])))?|\s*,?\s*s/n)?"
     rf"(?i:\s*,?\s*(?:\d{{1,2}}\.?\s?[ºª°]\s?[A-Za-z]?(?!\w)|esc\.?\s?\w{{1,3}}|pta\.?\s?\w{{1,3}}|piso\s?\w{{1,3}}|bajo|ático|entlo\.?|izq(?:da)?\.?|dcha\.?|portal\s?\w{{1,3}}|bloque\s?\w{{1,3}}|puerta\s?\w{{1,3}})(?!\w))*"
     rf"(?:\s*,?\s*(?:(?i:C\.?P\.?)\s*)?\d{{5}}(?!\d)(?:\s+(?:{_TOWN}|[{L}]{{4,}}(?:\s+[{L}]{{4,}})?(?=\s*(?:[.;)]|$))))?|\s*,\s+(?:{_TOWN}|[{L}]{{4,}}(?:\s+[{L}]{{4,}})?(?=\s*(?:[.;)]|$))))?"
@@ -59,7 +62,7 @@ _BETWEEN = re.compile(rf"(?:\s+y\s+|\s*,\s+)(?=[{U}])")
 _INSIDE = re.compile(r"[\w,)]\s*$")
 _SINGLE = re.compile(rf"(?<![\w@.\-/]){_TOKEN}(?:-{_TOKEN})?(?![\w@])")
 _DIGIT_WORDS = set("cero uno dos tres cuatro cinco seis siete ocho nueve".split())
-_FIRST = re.compile(rf"(?<![\w@.\-/])[{L}]+(?=\s)")
+_DIGIT_CAPITALS = ("UNO", "DOS", "TRES", "CUATRO", "CINCO", "SEIS", "SIETE", "OCHO", "NUEVE")
 _LOWER = re.compile(rf"([{L}]+)\s+((?:(?:de\s+las?|de\s+los|del|de)\s+)?[{L}]+(?:-[{L}]+)?(?:\s+[{L}]+)?)")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -225,6 +228,22 @@ def features(kind: str, text: str, start: int, end: int, shares: np.ndarray) ->
     return out
 
 
+#: Words judged by the table of the last call, kept while there are not too many.
+_ODD: dict[str, bool] = {}
+_ODD_OF: list[np.ndarray] = []
+
+
+def _odd(word: str, shares: np.ndarray) -> bool:
+    """Whether a word in lower case may begin a name: a given name, or one that mostly stands in capitals."""
+    if not _ODD_OF or _ODD_OF[0] is not shares or len(_ODD) > 300_000:
+        _ODD.clear()
+        _ODD_OF[:] = [shares]
+    known = _ODD.get(word)
+    if known is None:
+        known = _ODD[word] = len(word) > 2 and (word in _GIVEN or word not in _STOP and bool(shares[_place(word)] < 6))
+    return known
+
+
 def _opens(word: str, shares: np.ndarray) -> bool:
     """Whether a capitalised word may be an ordinary one that only begins a sentence or announces a name."""
     return word not in _GIVEN and word not in BODIES and (word in _STOP or word in _OPENING or shares[_place(word)] >= 3)
@@ -234,7 +253,8 @@ def propose(text: str, shares: np.ndarray) -> list[tuple[str, int, int]]:
     """Overlapping candidate spans of every type."""
     out = []
     done = -1
-    for sign in _SIGN.finditer(text):
+    signed = "@" in text or "＠" in text or "arroba" in text or " AT " in text or "(a" in text or "[a" in text or "{a" in text or " en " in text and _DOTTED.search(text)
+    for sign in _SIGN.finditer(text) if signed else ():
         if sign.start() < done:
             continue
         lo = max(0, sign.start() - 70)
@@ -243,14 +263,15 @@ def propose(text: str, shares: np.ndarray) -> list[tuple[str, int, int]]:
                 out.append(("EMAIL", m.start(), m.end()))
                 done = m.end()
                 break
-    words = set(_LETTERS.findall(text.lower()))
-    for m in _NUMBER.finditer(text):
-        n = sum(c.isdigit() for c in m.group())
-        if 6 <= n <= 20:
-            out.append(("TELEFONO", m.start(), m.end()))
-    for m in _CODE.finditer(text):
-        out.append(("DOCUMENTO", m.start(), m.end()))
-    if not _DIGIT_WORDS.isdisjoint(words):
+    words = set(_LOWERCASE.findall(text))
+    if _FIGURES.search(text):
+        for m in _NUMBER.finditer(text):
+            n = sum(c.isdigit() for c in m.group())
+            if 6 <= n <= 20:
+                out.append(("TELEFONO", m.start(), m.end()))
+        for m in _CODE.finditer(text):
+            out.append(("DOCUMENTO", m.start(), m.end()))
+    if not _DIGIT_WORDS.isdisjoint(words) or any(w in text for w in _DIGIT_CAPITALS):
         for m in _SPELLED.finditer(text):
             out.append(("TELEFONO", m.start(), m.end()))
     for m in _PLACE.finditer(text):
@@ -273,7 +294,7 @@ def propose(text: str, shares: np.ndarray) -> list[tuple[str, int, int]]:
         low = m.group().lower()
         if low in _GIVEN or len(low) > 2 and low not in _STOP and _announced(text, m.start()):
             out.append(("NOMBRE", m.start(), m.end()))
-    odd = {w for w in words if len(w) > 2 and (w in _GIVEN or w not in _STOP and shares[_place(w)] < 6)}
+    odd = [w for w in words if _odd(w, shares)]
     if odd or not _LOWER_CUES.isdisjoint(words):
         out += _lower_names(text, odd)
     return out
@@ -288,11 +309,11 @@ def _announced(text: str, start: int) -> bool:
     return bool(_ANNOUNCING.search(text[max(0, start - 14) : start]))
 
 
-def _lower_names(text: str, odd: set[str]) -> list[tuple[str, int, int]]:
+def _lower_names(text: str, odd: list[str]) -> list[tuple[str, int, int]]:
     """Names in lower case: a word that is a given name or mostly stands in capitals, or what an announcing phrase
     introduces, with what follows."""
     out = []
-    starts = {m.start() for m in _FIRST.finditer(text) if m.group() in odd} | {m.end() for m in _LOWER_ANNOUNCED.finditer(text)}
+    starts = {m.start() for w in odd for m in re.finditer(rf"(?<![\w@.\-/]){w}(?=\s)", text)} | {m.end() for m in _LOWER_ANNOUNCED.finditer(text)}
     for s in sorted(starts):
         m = _LOWER.match(text, s)
         if m and m.group(1) not in _STOP and m.group(2).split()[0] not in _STOP - {"de", "del"}:
