@@ -28,23 +28,21 @@ SIGNATURE, SKETCH = 4, 3
 WIDTH = SIGNATURE + SKETCH
 #: Chance that a pair exactly at the threshold shares no band.
 MISS = 0.001
-#: Texts up to which bands have their least number of rows; a row more for every eightfold number, so that unrelated texts
-#: do not meet more and more often.
-FEW = 500_000
 #: Bytes of a shingle's hash that are compared in the end.
 TOKEN = 6
 #: Parts of a bucket's keys that are gone through one after the other.
 KEY_PARTS = 8
 #: Texts in a leaf of a signature tree, and children of a node.
-LEAF = 16
+LEAF = 4
 FAN = 8
+#: Groups of so many texts are searched once, however many bands they meet in.
+LARGE = 64
 _MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
 
-def shape(texts: int, threshold: float) -> tuple[int, int]:
-    """Rows and number of bands for so many texts: the chance of a miss at the threshold is the same at every size."""
+def shape(threshold: float) -> tuple[int, int]:
+    """Rows and number of bands, the same at every size of the collection; the trees prune what meets by chance."""
     rows = min(8, max(2, round(math.log(16) / math.log(1 / min(threshold, 0.99)))))
-    rows += max(0, math.ceil(math.log(max(1, texts) / FEW, 8)))
     return rows, math.ceil(math.log(MISS) / math.log(1 - threshold**rows))
 
 
@@ -205,35 +203,47 @@ def possible(size_a, map_a, size_b, map_b, threshold: float) -> np.ndarray:
     return fits if near is None else fits & near
 
 
-class Tree:
-    """Signature tree: level 0 are texts, each node above holds an OR-combined bitmap and the range of set sizes below it."""
+class Forest:
+    """A signature tree for each group of texts, all of them built and searched at once.
 
-    def __init__(self, sizes: np.ndarray, maps: np.ndarray):
-        self.order = np.lexsort((maps[:, 0], sizes))
+    Level 0 are the texts of a group by size; each node above holds an OR-combined bitmap and the range of set sizes below
+    it. ``groups`` numbers the group of each text (ascending); without it all texts are one group.
+    """
+
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray, groups: np.ndarray | None = None):
+        groups = np.zeros(len(sizes), np.int64) if groups is None else groups
+        self.order = np.lexsort((maps[:, 0], sizes, groups)) if len(sizes) else np.zeros(0, np.int64)
         low = high = sizes[self.order].astype(np.int64)
-        full = maps[self.order]
+        full, group = maps[self.order], groups[self.order]
         m = full[:, :SIGNATURE]
         # tokens that share a bit with another token of their text
         extra = low - np.bitwise_count(m).sum(1, dtype=np.int64)
-        self.levels = [(low, high, full, extra)]
+        #: per level: sizes, bitmap, shared bits, first child of every node and of the one behind the last
+        self.levels = [(low, high, full, extra, None)]
         fan = LEAF
-        while len(low) > 1:
-            cut = np.arange(0, len(low), fan)
+        while len(group) and (len(self.levels) == 1 or (group[1:] == group[:-1]).any()):
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            place = np.arange(len(group)) - np.repeat(first, np.diff(np.append(first, len(group))))
+            cut = np.flatnonzero(place % fan == 0)
             low, high, m, extra = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.bitwise_or.reduceat(m, cut, axis=0), np.maximum.reduceat(extra, cut)
-            self.levels.append((low, high, m, extra))
-            fan = FAN
+            self.levels.append((low, high, m, extra, np.append(cut, len(group))))
+            group, fan = group[cut], FAN
+        #: pairs of nodes looked at and dropped, and pairs of texts looked at and dropped
+        self.nodes = self.pruned = self.texts = self.dropped = 0
 
     def _fits(self, level: int, a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
-        low, high, m, extra = self.levels[level]
+        low, high, m, extra, _ = self.levels[level]
         if level == 0:
             return possible(low[a], m[a], low[b], m[b], t)
         # two texts below share at most the bits in common and what shares a bit in the one or the other
         most = np.minimum(np.bitwise_count(m[a] & m[b]).sum(1, dtype=np.int64) + np.minimum(extra[a], extra[b]), np.minimum(high[a], high[b]))
         return (most * (1 + t) >= t * (low[a] + low[b]) - 1e-9) & (high[a] >= t * low[b] - 1e-9) & (high[b] >= t * low[a] - 1e-9)
 
-    def pairs(self, threshold: float, block: int = 200_000):
-        """Index pairs of texts that may reach the threshold, by dual traversal from the root."""
-        stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    def pairs(self, threshold: float, block: int = 100_000):
+        """Index pairs of texts of a group that may reach the threshold, by dual traversal from the roots."""
+        top = len(self.levels) - 1
+        roots = np.arange(len(self.levels[top][0]))
+        stack = [(top, roots, roots)]
         while stack:
             level, a, b = stack.pop()
             if len(a) > block:
@@ -241,17 +251,21 @@ class Tree:
                 stack += [(level, a[:half], b[:half]), (level, a[half:], b[half:])]
                 continue
             ok = self._fits(level, a, b, threshold)
-            a, b = a[ok], b[ok]
             if level == 0:
-                ok = a < b
+                self.texts, self.dropped = self.texts + len(ok), self.dropped + int((~ok).sum())
                 yield self.order[a[ok]], self.order[b[ok]]
                 continue
-            fan = LEAF if level == 1 else FAN
-            below = len(self.levels[level - 1][0])
-            i, j = (x.ravel() for x in np.meshgrid(np.arange(fan), np.arange(fan), indexing="ij"))
-            a, b = (a[:, None] * fan + i).ravel(), (b[:, None] * fan + j).ravel()
-            ok = (a < below) & (b < below) & (a <= b)
-            stack.append((level - 1, a[ok], b[ok]))
+            self.nodes, self.pruned = self.nodes + len(ok), self.pruned + int((~ok).sum())
+            a, b = a[ok], b[ok]
+            child = self.levels[level][4]
+            na, nb = child[a + 1] - child[a], child[b + 1] - child[b]
+            # all pairs of children, of a node with itself each once
+            many = na * nb
+            at = np.repeat(np.arange(len(a)), many)
+            k = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+            x, y = child[a][at] + k // nb[at], child[b][at] + k % nb[at]
+            keep = x < y if level == 1 else x <= y
+            stack.append((level - 1, x[keep], y[keep]))
 
 
 def _meet(threshold: float):
@@ -278,19 +292,18 @@ FILTER_BITS = 1 << 26
 
 
 def filter_of(ids: DataFrame, column: str) -> np.ndarray:
-    """Bitmap of hashed ids, of bounded size, made in the partitions and combined on the driver."""
+    """Bitmap of hashed ids, of bounded size: its words are combined by the aggregation, the driver gets each word once."""
     size = 1 << max(16, min(FILTER_BITS.bit_length() - 1, (16 * ids.count()).bit_length()))
 
-    def run(batches):
-        grid = np.zeros(size, bool)
-        for batch in batches:
-            grid[_place(batch[column], size)] = True
-        yield pd.DataFrame({"bits": [np.packbits(grid).tobytes()]})
+    @F.pandas_udf("long")
+    def place(x: pd.Series) -> pd.Series:
+        return pd.Series(_place(x, size))
 
-    whole = np.zeros(size // 8, np.uint8)
-    for row in ids.select(column).coalesce(4).mapInPandas(run, "bits binary").toLocalIterator():
-        whole |= np.frombuffer(row.bits, np.uint8)
-    return whole
+    at = ids.select(place(column).alias("at"))
+    words = at.groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(31 - (at & 31) as int))")).alias("bits")).toPandas()
+    whole = np.zeros(size // 32, ">u4")
+    whole[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    return whole.view(np.uint8)
 
 
 def _place(ids: pd.Series, size: int) -> np.ndarray:
@@ -303,32 +316,29 @@ def in_filter(bits: np.ndarray, ids: pd.Series) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _groups(keys: np.ndarray, owners: np.ndarray, sizes: np.ndarray, maps: np.ndarray, threshold: float, seen: set) -> list[np.ndarray]:
-    """Coded pairs (smaller text above, larger below) of all groups of equal keys; a group of the same texts is searched once."""
+def _groups(keys: np.ndarray, owners: np.ndarray, sizes: np.ndarray, maps: np.ndarray, threshold: float, seen: set, block: int = 2_000_000) -> list[np.ndarray]:
+    """Coded pairs (smaller text above, larger below) of all groups of equal keys; a large group of the same texts is searched once."""
     code = np.unique((keys.astype(np.uint64) << np.uint64(32)) | owners.astype(np.uint64))
     keys, who = (code >> np.uint64(32)), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
     start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     length = np.diff(np.append(start, len(keys)))
-    small = (length > 1) & (length <= LEAF)
-    found = []
-    for n in range(2, LEAF + 1):
-        at = start[small & (length == n)]
-        if len(at):
-            i, j = np.triu_indices(n, 1)
-            for lo in range(0, len(at), 20_000):
-                members = who[at[lo : lo + 20_000, None] + np.arange(n)]
-                # members are in ascending order
-                pairs = np.unique((members[:, i].ravel().astype(np.uint64) << np.uint64(32)) | members[:, j].ravel().astype(np.uint64))
-                a, b = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                found.append(pairs[possible(sizes[a], maps[a], sizes[b], maps[b], threshold)])
-    for s, n in zip(start[length > LEAF], length[length > LEAF]):
-        members = who[s : s + n]
-        mark = xxhash.xxh3_128_digest(members.tobytes())
-        if mark not in seen:
-            seen.add(mark)
-            for a, b in Tree(sizes[members], maps[members]).pairs(threshold):
-                a, b = members[a], members[b]
-                found.append((np.minimum(a, b).astype(np.uint64) << np.uint64(32)) | np.maximum(a, b).astype(np.uint64))
+    wanted = length > 1
+    for i in np.flatnonzero(length > LARGE):
+        mark = xxhash.xxh3_128_digest(who[start[i] : start[i] + length[i]].tobytes())
+        wanted[i] = mark not in seen
+        seen.add(mark)
+    keep = np.repeat(wanted, length)
+    who, group = who[keep], np.repeat(np.arange(int(wanted.sum())), length[wanted])
+    found, ends = [], np.cumsum(length[wanted])
+    lo = 0
+    while lo < len(who):
+        # whole groups, about ``block`` texts at a time
+        hi = int(ends[np.searchsorted(ends, min(lo + block, len(who)))])
+        members = who[lo:hi]
+        for a, b in Forest(sizes[members], maps[members], group[lo:hi]).pairs(threshold):
+            a, b = members[a], members[b]
+            found.append(np.unique((np.minimum(a, b).astype(np.uint64) << np.uint64(32)) | np.maximum(a, b).astype(np.uint64)))
+        lo = hi
     return found
 
 
@@ -346,7 +356,7 @@ def similar_classes(df: DataFrame, key: str, text: str, shingle: int = 5, thresh
     rows = texts_of(df, key, text)
     members = rows.select("id", "tid").distinct()
     count = rows.count()
-    height, bands = shape(count, threshold)
+    height, bands = shape(threshold)
     if buckets is None:
         buckets = max(6, -(-count * bands * 6 // 48_000_000))
     packets = rows.select("tid", "text").mapInPandas(_packets(shingle, height, bands, buckets), "bucket int, payload binary")

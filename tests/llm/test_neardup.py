@@ -66,7 +66,7 @@ def test_tree_loses_nothing():
     maps = neardup.bitmaps(np.concatenate(sets), owner, len(sets))
     sizes = np.array([len(s) for s in sets], np.uint32)
     for t in (0.5, 0.8):
-        found = {(min(a, b), max(a, b)) for x, y in neardup.Tree(sizes, maps).pairs(t) for a, b in zip(x.tolist(), y.tolist())}
+        found = {(min(a, b), max(a, b)) for x, y in neardup.Forest(sizes, maps).pairs(t) for a, b in zip(x.tolist(), y.tolist())}
         need = {(a, b) for a in range(150) for b in range(a + 1, 150) if len(np.intersect1d(sets[a], sets[b])) >= t * len(np.union1d(sets[a], sets[b]))}
         assert need <= found
 
@@ -79,7 +79,22 @@ def test_empty(spark):
 
 def test_shape_keeps_the_chance_of_a_miss():
     for threshold in (0.5, 0.8):
-        for n in (10, 10**6, 10**9):
-            rows, bands = neardup.shape(n, threshold)
-            assert (1 - threshold**rows) ** bands <= neardup.MISS
-    assert neardup.shape(10**9, 0.5)[0] > neardup.shape(10**5, 0.5)[0] == 4
+        rows, bands = neardup.shape(threshold)
+        assert (1 - threshold**rows) ** bands <= neardup.MISS
+
+
+def test_forest_searches_every_group_by_itself():
+    r = np.random.default_rng(3)
+    groups = np.sort(r.integers(0, 40, 300))
+    sizes = r.integers(5, 60, 300).astype(np.uint32)
+    maps = np.zeros((300, neardup.SIGNATURE), np.uint64)
+    for i in range(300):
+        for token in r.integers(0, 90, sizes[i]):
+            maps[i, token % neardup.SIGNATURE] |= np.uint64(1) << np.uint64(token % 64)
+    sizes = np.maximum(sizes, np.bitwise_count(maps).sum(1)).astype(np.uint32)
+    forest = neardup.Forest(sizes, maps, groups)
+    got = [(min(a, b), max(a, b)) for x, y in forest.pairs(0.5) for a, b in zip(x.tolist(), y.tolist())]
+    i, j = np.triu_indices(300, 1)
+    ok = (groups[i] == groups[j]) & neardup.possible(sizes[i], maps[i], sizes[j], maps[j], 0.5)
+    assert len(got) == len(set(got)) and set(got) == set(zip(i[ok].tolist(), j[ok].tolist()))
+    assert forest.pruned > 0 and not sum(len(x) for x, _ in neardup.Forest(sizes[:0], maps[:0]).pairs(0.5))
