@@ -1,8 +1,9 @@
 """Freely typed values to the entries of a reference list.
 
-Distinct values are normalised (damaged encodings, accents, separators, abbreviations, remarks), candidates come from an
-inverted index of character n-grams with the cosine of their inverse-frequency weights, and a candidate is accepted when
-its words agree up to typing errors and it stands clear of the next entry.
+Distinct values are normalised (damaged encodings, accents, separators, abbreviations, remarks), an inverted index of
+character n-grams gives the cosine of inverse-frequency weights with every entry that shares one, and the best concept is
+accepted when its cosine reaches a threshold and stands clear of the next concept by a margin. An exact check follows: the
+words must agree up to typing errors.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Entries of the reference list in one index; longer lists are looked up block by block.
 BLOCK = 100_000
-COSINE = 0.3
-MARGIN = 0.0
-KEEP = 12
+#: Least cosine of the accepted entry, and how far the best entry of another concept must stay behind.
+COSINE = 0.4
+MARGIN = 0.02
 NONE = "SIN_ANCLAR"
 
 # Joining words, remarks around a term, and abbreviations.
@@ -156,47 +157,50 @@ class Index:
         self.lists = {g: np.array(x, np.int32) for g, x in lists.items()}
         self.norm = np.sqrt(np.array([sum(self.weight[g] ** 2 for g in set(_grams(w))) for w in self.words] or [1.0]))
         self.unknown = float(np.log(1 + n))
+        self.names = sorted(set(self.ids))
+        place = {k: j for j, k in enumerate(self.names)}
+        self.number = np.array([place[k] for k in self.ids], np.int64)
 
-    def candidates(self, words: list[str]) -> list[tuple[float, int]]:
-        """(cosine, entry) of the best entries."""
+    def candidates(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, cosines) of the entries that share an n-gram with the words and may be accepted or contest it."""
         grams = set(_grams(words))
-        score = np.zeros(len(self.words))
-        size = 0.0
+        lists, weights, size = [], [], 0.0
         for g in grams:
             w = self.weight.get(g, self.unknown)
             size += w * w
             if g in self.lists:
-                score[self.lists[g]] += w * w
-        if not len(score) or not size:
-            return []
-        score /= self.norm * np.sqrt(size)
-        k = min(KEEP, len(score))
-        top = np.argpartition(-score, k - 1)[:k]
-        return sorted(((float(score[i]), int(i)) for i in top if score[i] >= COSINE), key=lambda x: (-x[0], self.ids[x[1]]))
+                lists.append(self.lists[g])
+                weights.append(w * w)
+        if not lists:
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = np.concatenate(lists)
+        score = np.bincount(at, np.repeat(weights, [len(x) for x in lists]), len(self.words)) / (self.norm * np.sqrt(size))
+        some = np.flatnonzero(score >= COSINE - MARGIN)
+        return some, score[some]
 
     def match(self, text: str) -> tuple[str | None, float, float]:
-        """Accepted entry id (or None), its edits and its cosine."""
+        """Accepted entry id (or None), its cosine, and that of the best entry of another id."""
         words = words_of(text)
         core = content(words)
-        found: dict[str, tuple[float, float]] = {}
-        for cosine, i in self.candidates(core):
-            e = min(edits(core, self.words[i]), edits([w for w in words if w not in JOINING], self.words[i]), run_together([w for w in words if w not in REMARKS], self.full[i]))
-            if e < 90 and (self.ids[i] not in found or (e, -cosine) < (found[self.ids[i]][0], -found[self.ids[i]][1])):
-                found[self.ids[i]] = (e, cosine)
-        if not found:
-            return None, 99.0, 0.0
-        ranked = sorted(found.items(), key=lambda x: (x[1][0], -x[1][1], x[0]))
-        key, (e, cosine) = ranked[0]
-        if len(ranked) > 1 and ranked[1][1][0] <= e and cosine - ranked[1][1][1] <= MARGIN:
-            return None, e, cosine
-        return key, e, cosine
+        at, cosine = self.candidates(core)
+        if not len(at) or cosine.max() < COSINE:
+            return None, 0.0, 0.0
+        best = self.number[at[cosine == cosine.max()]].min()
+        own = self.number[at] == best
+        first, second = float(cosine.max()), float(cosine[~own].max(initial=0.0))
+        # every entry of the best concept that reaches the threshold is checked, and so what the value's words may leave out
+        plain, kept = [w for w in words if w not in JOINING], [w for w in words if w not in REMARKS]
+        for i in at[own & (cosine >= COSINE)] if first - second > MARGIN else ():
+            if min(edits(core, self.words[i]), edits(plain, self.words[i]), run_together(kept, self.full[i])) < 90:
+                return self.names[best], first, second
+        return None, first, second
 
 
 def map_values(values: DataFrame, value: str, terms: DataFrame, term: str, key: str, block: int = BLOCK) -> DataFrame:
     """Rows (value, key) of every distinct value that is not null or blank; key is ``SIN_ANCLAR`` where no entry is meant.
 
-    The reference list is indexed in blocks of ``block`` entries; the best entry over all blocks counts, and equally good
-    entries with different keys mean no decision. Null terms and keys are ignored; with an empty list nothing matches.
+    The reference list is indexed in blocks of ``block`` entries, whole concepts in one block; the best cosine over all blocks
+    counts, and the margin holds between blocks as well. Null terms and keys are ignored; with an empty list nothing matches.
     """
     blank = "^[\\s\\x{00a0}\\x{2000}-\\x{200b}\\x{202f}\\x{3000}\\x{feff}]*$"
     distinct = values.select(F.col(value).alias("value")).where(F.col("value").isNotNull() & ~F.col("value").rlike(blank)).distinct()
@@ -206,15 +210,20 @@ def map_values(values: DataFrame, value: str, terms: DataFrame, term: str, key:
         def run(batches):
             for batch in batches:
                 got = [index.match(v) for v in batch["value"]]
-                yield pd.DataFrame({"value": batch["value"], "key": pd.Series([g[0] for g in got], dtype=object), "edits": [g[1] for g in got], "cosine": [g[2] for g in got]})
+                yield pd.DataFrame({"value": batch["value"], "key": pd.Series([g[0] for g in got], dtype=object), "first": [g[1] for g in got], "second": [g[2] for g in got]})
 
-        return distinct.mapInPandas(run, "value string, key string, edits double, cosine double")
+        return distinct.mapInPandas(run, "value string, key string, first double, second double")
 
-    blocks = [entries[i : i + block] for i in range(0, len(entries), block)] or [[]]
+    cuts = [0]
+    for i in range(1, len(entries) + 1):
+        if i == len(entries) or i - cuts[-1] >= block and entries[i][1] != entries[i - 1][1]:
+            cuts.append(i)
+    blocks = [entries[a:b] for a, b in zip(cuts, cuts[1:])] or [[]]
     found = looked(Index(blocks[0]))
     if len(blocks) > 1:
         for part in blocks[1:]:
             found = found.unionByName(looked(Index(part)))
-        best = found.groupBy("value").agg(F.min(F.struct("edits", -F.col("cosine"))).alias("b"))
-        found = found.join(best, "value").where((F.col("edits") == F.col("b.edits")) & (F.col("cosine") == -F.col("b.col2"))).groupBy("value").agg(F.when(F.count_distinct("key") == 1, F.max("key")).alias("key"))
+        # the next concept may be the best of another block
+        ranked = found.groupBy("value").agg(F.max_by("key", "first").alias("key"), F.max("first").alias("first"), F.sort_array(F.collect_list("first"), asc=False).alias("firsts"), F.max_by("second", "first").alias("second"))
+        found = ranked.select("value", F.when(F.col("first") - F.greatest("second", F.col("firsts")[1]) > MARGIN, F.col("key")).alias("key"))
     return found.select("value", F.coalesce("key", F.lit(NONE)).alias("key"))
