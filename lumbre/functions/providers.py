@@ -12,7 +12,7 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType, StructField, StructType
 
 _WORD = re.compile(r"[a-z0-9]+")
 
@@ -69,6 +69,23 @@ def close_matches(choices: list[str], most: int = 10, least: float = 0.6):
     return match
 
 
+@F.pandas_udf(ArrayType(StructType([StructField("ratio", DoubleType()), StructField("term", StringType())])))
+def close_in_block(texts: pd.Series, blocks: pd.Series) -> pd.Series:
+    """The terms of a block whose similarity by longest matching blocks is at least 0.6, with it; cheap upper bounds first."""
+    out = []
+    for t, block in zip(texts, blocks):
+        found = []
+        if t is not None and block is not None:
+            m = difflib.SequenceMatcher(None)
+            m.set_seq2(t)
+            for term in block:
+                m.set_seq1(term)
+                if m.real_quick_ratio() >= 0.6 and m.quick_ratio() >= 0.6 and (r := m.ratio()) >= 0.6:
+                    found.append({"ratio": r, "term": term})
+        out.append(found)
+    return pd.Series(out)
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity by longest matching blocks."""

@@ -44,8 +44,11 @@ def confusion(rows: DataFrame, truth: Column, guess: Column, by: str, places: in
 
 
 def round_robin(rows: DataFrame, strata: str, key: str, n: int) -> DataFrame:
-    """``n`` rows taken from the strata in turn, in order of key."""
-    placed = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(strata).orderBy(key)))
+    """``n`` rows taken from the strata in turn, in order of key.
+
+    No stratum gives more than ``n``: the limit on the rank lets Spark cut every partition before the shuffle.
+    """
+    placed = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(strata).orderBy(key))).where(F.col("__rn") <= n)
     return placed.orderBy("__rn", F.asc_nulls_first(strata)).limit(n).drop("__rn")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lumbre.functions import similarity as sim
-from lumbre.sources.store import materialize
+from lumbre.sources.store import materialize, parallelism
 
 # Relations whose direction is turned for searching, and those that lead both ways, with their weight.
 TURNED = ["HAS_INTERVENTION", "TARGET_POPULATION", "HAS_OUTCOME", "CONTIENE_RECOMENDACION"]
@@ -145,11 +145,16 @@ def explain_paths(edges: DataFrame, targets: DataFrame, seeds: DataFrame) -> Dat
 def succession_edges(named: DataFrame) -> DataFrame:
     """Edges (src, dst, entity) from each item to the next that names the same entity, in order of id; ``named``: (id, entity).
 
-    Linear in the mentions, where linking all items of an entity would be quadratic.
+    Linear in the mentions, where linking all items of an entity would be quadratic. The mentions are ordered by range, so
+    an entity that a third of them name is spread over many runs; a run hands over to the first item of the next.
     """
-    rows = named.where("id is not null and entity is not null").distinct()
-    after = F.lead("id").over(Window.partitionBy("entity").orderBy("id"))
-    return rows.select(F.col("id").alias("src"), after.alias("dst"), "entity").where("dst is not null")
+    rows = named.where("id is not null and entity is not null").select("entity", "id").distinct()
+    runs = materialize(rows.repartitionByRange(parallelism(rows), "entity", "id").withColumn("run", F.spark_partition_id()))
+    firsts = runs.groupBy("entity", "run").agg(F.min("id").alias("first"))
+    handed = firsts.select("entity", "run", F.lead("first").over(Window.partitionBy("entity").orderBy("run")).alias("next"))
+    inner = runs.select("entity", "run", "id", F.lead("id").over(Window.partitionBy("entity", "run").orderBy("id")).alias("after"))
+    linked = inner.join(handed, ["entity", "run"]).select(F.col("id").alias("src"), F.coalesce("after", "next").alias("dst"), "entity")
+    return linked.where("dst is not null")
 
 
 def hop_traversal(edges: DataFrame, keywords: DataFrame, queries: DataFrame, k: int = 10, hops: int = 3, start: int = 15, least: float = 0.35) -> DataFrame:

@@ -108,17 +108,22 @@ def chunk_page(spark, d):
 
 
 def anchor_states(spark, d):
-    """Decisions by state: rejected, curated (a code), without a code."""
+    """Decisions by state: rejected, curated (a code), pending (a term or candidates but no code yet), without an anchor."""
     a = table(spark, d, "anchor_decisions").distinct()
-    state = F.when(F.lower(F.trim("accion")) == "rechazar", "rechazado").when(F.col("sctid").isNotNull() | F.col("cui").isNotNull(), "curado").otherwise("sin_anclar")
+    state = F.when(F.lower(F.trim("accion")) == "rechazar", "rechazado").when(F.col("sctid").isNotNull() | F.col("cui").isNotNull(), "curado").when(F.trim("termino") != "", "pendiente").otherwise("sin_anclar")
     return a.groupBy(state.alias("estado")).agg(F.count("*").alias("n"))
 
 
 def close_terms(spark, d):
     """Closest reference terms of typed values by longest matching blocks, for those whose decision is divisible by 100."""
-    choices = [r.t for r in table(spark, d, "terminos").where("lat = 'SPA' and ispref = 'Y' and term_norm is not null").select(F.col("term_norm").alias("t")).distinct().orderBy("t").limit(5000).collect()]
-    a = table(spark, d, "anchor_decisions").where("entidad is not null and decision_id % 100 = 0").select("decision_id", tx.fold(F.trim("entidad")).alias("x")).distinct()
-    return a.select("decision_id", F.array_join(providers.close_matches(choices)(F.col("x")), "|").alias("cercanos"))
+    choices = table(spark, d, "terminos").where("lat = 'SPA' and ispref = 'Y' and term_norm is not null").select(F.col("term_norm").alias("t")).distinct()
+    # the whole list in blocks; the stated queries meet every block
+    blocks = choices.groupBy(F.pmod(F.xxhash64("t"), F.lit(64)).alias("b")).agg(F.sort_array(F.collect_list("t")).alias("terms"))
+    a = materialize(table(spark, d, "anchor_decisions").where("entidad is not null and decision_id % 100 = 0").select("decision_id", tx.fold(F.trim("entidad")).alias("x")).distinct())
+    found = blocks.join(a).select("decision_id", F.explode(providers.close_in_block("x", "terms")).alias("m")).select("decision_id", "m.*")
+    best = found.withColumn("n", F.row_number().over(Window.partitionBy("decision_id").orderBy(F.desc("ratio"), F.desc("term")))).where("n <= 10")
+    joined = best.groupBy("decision_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "term"))), lambda p: p["term"]), "|").alias("cercanos"))
+    return a.join(joined, "decision_id", "left").select("decision_id", F.coalesce("cercanos", F.lit("")).alias("cercanos"))
 
 
 def guide_sections(spark, d):
@@ -132,10 +137,12 @@ def cache_keys(spark, d):
 
 
 def type_frequency(spark, d):
-    """Kinds of chunk by guide that occur at least twice, with up to three examples."""
+    """Kinds of chunk by guide that occur at least twice, with their first fifty chunks as examples."""
     c = _chunks(spark, d, "guia", "tipo")
-    counted = c.groupBy("guia", "tipo").agg(F.count("*").alias("n"), F.min("chunk_id").alias("ejemplo"))
-    return counted.where("n >= 2")
+    counted = c.groupBy("guia", "tipo").agg(F.count("*").alias("n")).where("n >= 2")
+    first = c.withColumn("k", F.row_number().over(Window.partitionBy("guia", "tipo").orderBy("chunk_id"))).where("k <= 50")
+    examples = first.groupBy("guia", "tipo").agg(F.array_join(F.array_sort(F.collect_list("chunk_id")), ",").alias("ejemplos"))
+    return counted.join(examples, counted["guia"].eqNullSafe(examples["guia"]) & counted["tipo"].eqNullSafe(examples["tipo"])).select(counted["guia"], counted["tipo"], "n", "ejemplos")
 
 
 def first_of_level(spark, d):
@@ -202,10 +209,10 @@ def _sql():
         "concept_edges": f"with {_UPS}, t as (select distinct term_norm, sctid from terminos where sctid is not null and term_norm is not null) select 'ent:' || term_norm as src, 'sct:' || sctid as dst, 'ANCLADA_A' as rel from t union select 'sct:' || child, 'sct:' || parent, 'IS_A' from l where child in (select sctid from t) and parent in (select sctid from t)",
         "flat_graph": "with c as (select distinct chunk_id, farmacos as f from chunks where chunk_id is not null and len(farmacos) > 1), p as (select f[i] as src, f[i + 1] as dst from (select f, unnest(range(1, len(f))) as i from c)) select src, dst, count(*) as n from p where src <> dst group by src, dst",
         "hitl_trigger": f"select distinct id, regexp_matches(content, '{_q(tx.SERIOUS)}') or (regexp_matches(content, '{_q(tx.PATIENT)}') and not regexp_matches(content, '{_q(tx.NUMERIC)}')) as hitl, regexp_matches(content, '{_q(tx.CLASS_QUESTION)}') as clase from messages where role = 'medico' and content is not null",
-        "anchor_states": "select case when lower(trim(accion)) = 'rechazar' then 'rechazado' when sctid is not null or cui is not null then 'curado' else 'sin_anclar' end as estado, count(*) as n from (select distinct * from anchor_decisions) group by estado",
+        "anchor_states": "select case when lower(trim(accion)) = 'rechazar' then 'rechazado' when sctid is not null or cui is not null then 'curado' when trim(termino) <> '' then 'pendiente' else 'sin_anclar' end as estado, count(*) as n from (select distinct * from anchor_decisions) group by estado",
         "guide_sections": f"with {CHUNKS}, s as (select guia, nullif(regexp_extract(seccion, '^\\s*(\\d{{1,2}}(?:\\.\\d{{1,2}}){{0,3}})', 1), '') as numero from c) select guia, count(distinct numero) as secciones, count(*) as fragmentos from s where numero is not null group by guia",
         "cache_keys": f"with {CHUNKS} select chunk_id, sha1(texto) as clave, regexp_replace(chunk_id, '[^\\p{{L}}\\p{{N}}_\\-]', '', 'g') as fichero from c where texto is not null",
-        "type_frequency": "with c as (select distinct chunk_id, guia, tipo from chunks where chunk_id is not null) select guia, tipo, count(*) as n, min(chunk_id) as ejemplo from c group by guia, tipo having n >= 2",
+        "type_frequency": "with c as (select distinct chunk_id, guia, tipo from chunks where chunk_id is not null) select guia, tipo, count(*) as n, array_to_string(list_sort(list(chunk_id))[1:50], ',') as ejemplos from c group by guia, tipo having n >= 2",
         "first_of_level": "with t as (select distinct cast(nivel as int) as nivel, thread_id || '#' || turn_id as clave from turns where nivel is not null and thread_id is not null) select nivel, clave, row_number() over (partition by nivel order by clave) as n from t qualify n <= 5",
     }
 

@@ -15,13 +15,16 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); only where none is set, as in tests, a local one."""
+    """The folder all executors share (``spark.checkpoint.dir``). A local one only where none is set and all runs on this
+    machine, as in tests; on a cluster without one this raises an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         at = context._jsc.sc().getCheckpointDir()
         if at.isDefined():
             return at.get()
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lumbre-")
         context.setCheckpointDir(f"file://{folder}")
         folder = context._jsc.sc().getCheckpointDir().get()
