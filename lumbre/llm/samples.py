@@ -17,13 +17,21 @@ def bounded_sample(rows: DataFrame, key: str, most: int, seed: int = 1) -> DataF
     return near.orderBy(F.pmod(h, F.lit(1 << 32)), key).limit(most)
 
 
-def most_frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
-    """Rows with the largest counts, about ``most`` and no more: the least count that is taken is found by classes first."""
+def most_frequent(counted: DataFrame, count: str, most: int, form: str) -> DataFrame:
+    """The ``most`` rows with the largest counts, equal ones by a hash of ``form``.
+
+    The least class of counts that is taken whole is found first; only what is missing is ordered, out of the next class.
+    """
     step = F.floor(F.log2(count) * 8)
     classes = sorted(((r.c, r.k) for r in counted.groupBy(step.alias("c")).agg(F.count("*").alias("k")).collect()), reverse=True)
-    total, least = 0, None
+    total, whole, rest = 0, [], None
     for c, k in classes:
         if total + k > most:
+            rest = c
             break
-        total, least = total + k, c
-    return counted.where(F.lit(False) if least is None else step >= least)
+        total += k
+        whole.append(c)
+    taken = counted.where(step >= whole[-1]) if whole else counted.where(F.lit(False))
+    if rest is None or total == most:
+        return taken
+    return taken.unionByName(counted.where(step == rest).orderBy(F.desc(count), F.xxhash64(form), form).limit(most - total))

@@ -26,8 +26,8 @@ MISREAD = [
 _READ: dict[str, list[tuple[str, str]]] = {}
 for _bad, _good in MISREAD:
     _READ.setdefault(_bad[0], []).append((_bad, _good))
-#: Words in the vocabulary, at most, and how often a word must occur among a million.
-VOCABULARY = 150_000
+#: Words in the vocabulary, compounds and headers that are known, at most, and how often a word must occur among a million.
+VOCABULARY, COMPOUNDS, HEADERS = 150_000, 100_000, 100_000
 PER_MILLION = 3.0
 HYPHEN = "-­‐‑–¬"
 ODD = "@†‡$€£¢|!¡"
@@ -190,8 +190,10 @@ def _undone(word: str):
 
 
 def lexicon(df: DataFrame, text: str, vocabulary: int = VOCABULARY, per_million: float = PER_MILLION) -> Lexicon:
-    """Lexicon of all texts; the driver gets the most frequent forms, at most ``vocabulary``."""
-    rows = most_frequent(materialize(count_forms(df, text).where("n > 1")), "n", vocabulary).collect()
+    """Lexicon of all texts; the driver gets the most frequent forms: at most ``vocabulary`` words, and of compounds and headers
+    their own number, so that none displaces another."""
+    counted = materialize(count_forms(df, text).where("n > 1"))
+    rows = [r for kind, most in (("w", vocabulary), ("c", COMPOUNDS), ("h", HEADERS)) for r in most_frequent(counted.where(F.col("kind") == kind), "n", most, "form").collect()]
     return Lexicon([(r.kind, r.form, r.n) for r in rows], per_million)
 
 

@@ -10,6 +10,9 @@ def test_bounded(spark):
 
 def test_most_frequent(spark):
     df = spark.createDataFrame([(i, 1 + i % 100) for i in range(1000)], "k int, n long")
-    got = [r.n for r in most_frequent(df, "n", 250).collect()]
-    assert 150 <= len(got) <= 250 and min(got) >= max(1, 100 - 25)
-    assert most_frequent(df, "n", 5000).count() == 1000 and most_frequent(df.limit(0), "n", 5).count() == 0
+    got = [r.n for r in most_frequent(df, "n", 255, "k").collect()]
+    assert sorted(got, reverse=True) == sorted((1 + i % 100 for i in range(1000)), reverse=True)[:255]
+    assert most_frequent(df, "n", 5000, "k").count() == 1000 and most_frequent(df.limit(0), "n", 5, "k").count() == 0
+    # one class of counts that is larger than the bound
+    same = most_frequent(df.withColumn("n", df.n * 0 + 7), "n", 40, "k")
+    assert same.count() == 40 and {r.k for r in same.collect()} == {r.k for r in same.collect()}
