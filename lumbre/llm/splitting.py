@@ -119,9 +119,10 @@ def split_long(df: DataFrame, key: str, text: str, carry: list[str], limit: int
 
     Pieces are numbered from 1; ``text[fresh:end]`` of all pieces joined is the whole text; a piece repeats up to
     ``overlap`` characters of the one before. Null keys and texts and texts within the limit give no rows; a repeated key
-    counts once; other columns are dropped.
+    counts once, of different rows of a key the smallest; other columns are dropped.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]).where((F.length("text") > limit) & F.col("key").isNotNull()).dropDuplicates(["key"])
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]).where((F.length("text") > limit) & F.col("key").isNotNull())
+    rows = rows.groupBy("key").agg(F.min(F.struct(*rows.columns[1:])).alias("row")).select("key", "row.*")
     kinds = dict(rows.dtypes)
     schema = f"key {kinds['key']}, piece int, start int, fresh int, end int, text string" + "".join(f", carry_{i} {kinds[f'carry_{i}']}" for i in range(len(carry)))
 

@@ -34,3 +34,10 @@ def test_operator(spark):
         mine = sorted((r.piece, r) for r in got if r.chunk_id == key)
         assert "".join(text[r.fresh : r.end] for _, r in mine) == text and all(r.piece_text == text[r.start : r.end] and len(r.piece_text) <= 1500 for _, r in mine)
     assert splitting.split_long(df.limit(0), "chunk_id", "texto", ["pagina"]).count() == 0
+
+
+def test_smallest_row_of_a_key(spark):
+    rows = [("k", "b" * 2000, "z"), ("k", "a " * 1000, None), ("k", "a " * 1000, "y")]
+    for order in (rows, rows[::-1]):
+        got = splitting.split_long(spark.createDataFrame(order, "k string, t string, s string"), "k", "t", ["s"]).collect()
+        assert {r.s for r in got} == {None} and all(set(r.piece_text) <= {"a", " "} for r in got)
