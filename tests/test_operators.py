@@ -210,3 +210,14 @@ def test_empty_inputs(spark):
     assert retrieval.similar_vectors(v).count() == 0 and retrieval.dense(v.withColumnRenamed("id", "query_id"), v).count() == 0
     assert graph.mention_edges(spark.createDataFrame([], "id string, guia string, entities array<string>")).count() == 0
     assert sim is not None
+
+
+def test_nearest_of_many_blocks_leave_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 10)
+    v = [(i, [1.0, float(i % 7)]) for i in range(500)]
+    df = spark.createDataFrame(v, "id int, v array<double>").repartition(2)
+    seen = []
+    monkeypatch.setattr(retrieval, "top", lambda scored, k, places=None: seen.append(scored.count()) or scored)
+    retrieval.dense(df.where("id between 1 and 6").select(F.col("id").alias("query_id"), "v"), df, 3)
+    # 50 blocks would give 3 rows each for every query; what ties with the third best may stay
+    assert seen[0] <= 6 * sum(x[1] == 6.0 for _, x in v)
