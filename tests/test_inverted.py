@@ -3,7 +3,8 @@
 import numpy as np
 import pyarrow as pa
 
-from lumbre.operators import inverted, retrieval
+from lumbre.operators import graph, inverted, retrieval
+from tests.test_operators import dense_pagerank
 
 
 def test_blocks_rank_as_all_pairs(spark):
@@ -33,3 +34,19 @@ def test_ids_are_not_cut():
         assert inverted._cut(t) == 5
     finally:
         inverted.ROWS = rows
+
+
+def test_mention_pagerank(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    edges = sorted({(f"i{int(r.integers(40)):02d}", f"e{int(r.integers(9))}") for _ in range(110)})
+    both = [x for i, e in edges for x in ((f"ent:{e}", f"chunk:{i}", 1.0), (f"chunk:{i}", f"ent:{e}", 1.0))]
+    # one seed that no item names; two queries with equal seeds
+    seeds = {1: {"e1": 1.0}, 2: {"e2": 2.0, "e5": 1.0, "none": 1.0}, 3: {"e1": 1.0}}
+    # a table of all queries and nodes is made by pagerank only
+    monkeypatch.setattr(graph, "pagerank", None)
+    for steps in (6, 5, 1):
+        got = graph.mention_pagerank(spark.createDataFrame(edges + edges[:5], "id string, entity string"), spark.createDataFrame([(q, e, w) for q, s in seeds.items() for e, w in s.items()], "query_id int, entity string, weight double"), 100, 0.5, steps, 9).collect()
+        for q, s in seeds.items():
+            want = {n[6:]: x for n, x in dense_pagerank(both, {f"ent:{e}": w for e, w in s.items()}, 0.5, steps).items() if n.startswith("chunk:") and x > 0}
+            have = {x.id: x.score for x in got if x.query_id == q}
+            assert have.keys() == want.keys() and max(abs(have[n] - x) for n, x in want.items()) < 1e-12
