@@ -50,3 +50,12 @@ def test_mention_pagerank(spark, monkeypatch):
             want = {n[6:]: x for n, x in dense_pagerank(both, {f"ent:{e}": w for e, w in s.items()}, 0.5, steps).items() if n.startswith("chunk:") and x > 0}
             have = {x.id: x.score for x in got if x.query_id == q}
             assert have.keys() == want.keys() and max(abs(have[n] - x) for n, x in want.items()) < 1e-12
+
+
+def test_hops_unite_the_rows_of_an_id(spark):
+    words = [("a", ["x"]), ("a", ["x", "y"]), ("b", ["y"]), ("c", ["x", "z"]), ("d", None)]
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "a")], "src string, dst string")
+    asked = spark.createDataFrame([(1, ["x", "other"]), (2, ["x"]), (3, ["none"])], "query_id int, words array<string>")
+    got = sorted(tuple(r) for r in graph.hop_traversal(edges, spark.createDataFrame(words, "id string, words array<string>"), asked).collect())
+    # edges into a and c, all with agreement 0.5: b to a, c to a, b to c; then a has no way on, c leads to a again
+    assert [r[1] for r in got if r[0] == 1] == ["a", "c"] and [r[1:] for r in got if r[0] == 1] == [r[1:] for r in got if r[0] == 2] and len(got) == 4
