@@ -25,15 +25,27 @@ class Boosted:
             values = np.unique(x[:, i])
             mid = (values[1:] + values[:-1]) / 2
             self.edges.append(mid if len(mid) < self.bins else np.unique(np.quantile(x[:, i], np.linspace(0, 1, self.bins + 1)[1:-1])))
-        b = self._bin(x)
-        train, n_features, n_bins = np.flatnonzero(~held), x.shape[1], self.bins + 1
-        p = min(max(y[train].mean() if len(train) else 0.5, 1e-3), 1 - 1e-3)
+        return self.fit_counted(self._bin(x), y, np.ones(len(y)), held)
+
+    def edge(self, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Borders of the bins of a feature of which all distinct values, in order, and their counts are known."""
+        mid = (values[1:] + values[:-1]) / 2
+        if len(mid) < self.bins:
+            return mid
+        at, ends = np.linspace(0, 1, self.bins + 1)[1:-1] * (counts.sum() - 1), np.cumsum(counts)
+        low, high = (values[np.searchsorted(ends, f(at), side="right")] for f in (np.floor, np.ceil))
+        return np.unique(low + (high - low) * (at % 1))
+
+    def fit_counted(self, b: np.ndarray, y: np.ndarray, n: np.ndarray, held: np.ndarray) -> "Boosted":
+        """Fit on rows of bins that occur ``n`` times each; ``edges`` are set, ``held`` rows are for the calibration."""
+        train, n_features, n_bins, weight = np.flatnonzero(~held), b.shape[1], self.bins + 1, n[~held]
+        p = min(max(np.average(y[train], weights=weight) if len(train) else 0.5, 1e-3), 1 - 1e-3)
         self.base = np.log(p / (1 - p))
         score = np.full(len(y), self.base)
         self.trees = []
         for _ in range(self.rounds):
             q = 1 / (1 + np.exp(-score[train]))
-            g, h = y[train] - q, np.maximum(q * (1 - q), 1e-6)
+            g, h = weight * (y[train] - q), weight * np.maximum(q * (1 - q), 1e-6)
             node = np.zeros(len(train), np.int64)
             feature, cut = np.zeros(2**self.depth - 1, np.int32), np.full(2**self.depth - 1, n_bins, np.int32)
             for level in range(self.depth):
@@ -58,7 +70,7 @@ class Boosted:
             leaf = self.rate * gs / (hs + self.l2)
             self.trees.append((feature, cut, leaf))
             score += leaf[self._leaf(b, feature, cut)]
-        self._calibrate(score[held], y[held])
+        self._calibrate(score[held], y[held], n[held])
         return self
 
     def _leaf(self, b: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -68,16 +80,17 @@ class Boosted:
             node = node * 2 + (b[rows, feature[own]] > cut[own])
         return node
 
-    def _calibrate(self, s: np.ndarray, y: np.ndarray) -> None:
+    def _calibrate(self, s: np.ndarray, y: np.ndarray, n: np.ndarray) -> None:
         """Platt scaling on the held-out rows by a few Newton steps, then the probability with the best F measure as
         threshold; ``beta`` above 1 weighs recall more."""
         a, c = 1.0, 0.0
-        if len(y) >= 20 and 0 < y.sum() < len(y):
-            t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+        size, hits = n.sum(), (n * y).sum()
+        if size >= 20 and 0 < hits < size:
+            t = np.where(y > 0, (hits + 1) / (hits + 2), 1 / (size - hits + 2))
             for _ in range(25):
                 q = 1 / (1 + np.exp(-(a * s + c)))
-                w = np.maximum(q * (1 - q), 1e-9)
-                grad = np.array([((t - q) * s).sum() - 1e-3 * (a - 1), (t - q).sum()])
+                w = n * np.maximum(q * (1 - q), 1e-9)
+                grad = np.array([(n * (t - q) * s).sum() - 1e-3 * (a - 1), (n * (t - q)).sum()])
                 hess = np.array([[(w * s * s).sum() + 1e-3, (w * s).sum()], [(w * s).sum(), w.sum() + 1e-3]])
                 step = np.linalg.solve(hess, grad)
                 a, c = a + np.clip(step[0], -1, 1), c + np.clip(step[1], -2, 2)
@@ -85,7 +98,7 @@ class Boosted:
         q = 1 / (1 + np.exp(-(self.a * s + self.c)))
         grid = np.linspace(0.2 if self.beta <= 1 else 0.08, 0.8, 31)
         w = self.beta**2
-        f1 = [(1 + w) * ((q >= v) & (y > 0)).sum() / max(1, (q >= v).sum() + w * (y > 0).sum()) for v in grid]
+        f1 = [(1 + w) * n[(q >= v) & (y > 0)].sum() / max(1, n[q >= v].sum() + w * hits) for v in grid]
         best = [v for v, f in zip(grid, f1) if f >= max(f1) - 1e-9] if len(y) else [0.5]
         self.threshold = float(min(best, key=lambda v: abs(v - 0.5)))
         self.held_f1 = float(max(f1)) if len(y) else float("nan")

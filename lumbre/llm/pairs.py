@@ -2,7 +2,7 @@
 
 Answers are paired with their questions by thread and order. A copy is told by compressing the answer with the question as
 zstandard dictionary; language and refusal by dictionaries of function words and formulas; a cut by a terminal-context
-model, fitted on a bounded sample of answers, that judges from the last words whether a text could end there.
+model, fitted on all answers, that judges from the last words whether a text could end there.
 """
 
 from __future__ import annotations
@@ -18,10 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lumbre.llm.boosting import Boosted
-from lumbre.llm.samples import bounded_sample
+from lumbre.sources.store import materialize
 
-#: Answers the terminal-context model is fitted on, at most.
-SAMPLE = 6000
 #: Bytes a wrapper around a copied question takes at most; it does not grow with the question.
 WRAPPER = 45
 #: Messages of a thread from which on it is ordered in blocks of so many ids.
@@ -189,6 +187,7 @@ _NUMBERS = re.compile(r"\d+")
 _ITEM = re.compile(r"(?:(?<=\s)|^)\(?(\d{1,2})[.)](?=\s|$)")
 _TAIL = re.compile(r"(?:\s*\[\d+\])+\s*$")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
+_SENTENCE = re.compile(r"(?<=[.?!])\s+(?=[A-ZÁÉÍÓÚÑ¿¡])")
 
 
 class Terminal:
@@ -213,23 +212,26 @@ class Terminal:
                         self.goes[tuple(tokens[i - n : i])] += 1
         rows, marks = [], []
         for t in texts[half:]:
-            sentences = re.split(r"(?<=[.?!])\s+(?=[A-ZÁÉÍÓÚÑ¿¡])", t)
-            s = r.choice(sentences)
-            if len(s) > 30:
-                rows.append(self._features(s.rstrip(".?!\"» ")))
-                marks.append(0)
-                if r.random() < 0.5:
-                    cut = s[: r.randint(12, len(s) - 3)].rstrip()
-                else:
-                    gaps = [m.start() for m in re.finditer(r"\s", s)]
-                    cut = s[: r.choice(gaps[1:] or [len(s) // 2])].rstrip()
-                rows.append(self._features(cut))
-                marks.append(1)
+            two = self._examples(t, r)
+            rows += two
+            marks += [0, 1][: len(two)]
         self.model = Boosted(rounds=60, depth=4).fit(np.array(rows or [[0.0] * 12, [1.0] * 12], float), np.array(marks or [0, 1]))
         # only counts that were seen more than once say anything about other texts
         self.goes = Counter({k: v for k, v in self.goes.items() if v > 1})
         return self
 
+    def _examples(self, text: str, r: random.Random) -> list[list[float]]:
+        """Features of a sentence of the text and of the same sentence cut; none of short sentences."""
+        s = r.choice(_SENTENCE.split(text))
+        if len(s) <= 30:
+            return []
+        if r.random() < 0.5:
+            cut = s[: r.randint(12, len(s) - 3)].rstrip()
+        else:
+            gaps = [m.start() for m in re.finditer(r"\s", s)]
+            cut = s[: r.choice(gaps[1:] or [len(s) // 2])].rstrip()
+        return [self._features(s.rstrip(".?!\"» ")), self._features(cut)]
+
     @staticmethod
     def _tokens(text: str) -> list[str]:
         return ["0" if t.isdigit() else t if len(t) < 8 else "~" + t[-4:] if not t.endswith("mente") else "~mente" for t in _TOKEN.findall(text.lower())]
@@ -301,7 +303,139 @@ def defects(pairs: DataFrame, model: Terminal) -> DataFrame:
     return pairs.mapInPandas(run, f"id {dict(pairs.dtypes)['id']}, defect string")
 
 
-def fit_terminal(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Terminal:
-    """Terminal-context model from at most ``sample`` answers, the first by hash of their key."""
-    rows = bounded_sample(df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") > 60), "k", sample).collect()
-    return Terminal().fit([r.t for r in rows])
+def _whole(text: str) -> str | None:
+    """The text in one line without citations at its end, if it is long enough and ends as a sentence does."""
+    t = text.rstrip()
+    t = " ".join((_TAIL.sub("", t) if t[-1:] == "]" else t).split())
+    return t if len(t) > 60 and t[-1] in ".?!" else None
+
+
+
+def context_counts(texts: list[str], counted: list[bool]) -> pd.DataFrame:
+    """Rows (gram, n, words, ends, goes): how often tokens occur in the texts, and contexts of ``n`` tokens (joined by spaces) in the
+    ``counted`` ones at the end of a sentence and before its end; single tokens of the texts have n 0. All tokens of the texts at once, as numbers."""
+    codes, marks = {}, []
+
+    def code(token):
+        # closing marks at the end of a sentence do not belong to it
+        shape = Terminal._tokens(token)[0]
+        k = codes.get(shape)
+        if k is None:
+            k = codes[shape] = len(codes)
+            marks.append(shape in set(".?!\"»)"))
+        return k
+
+    words: Counter = Counter()
+    flat = []
+    for text, use in zip(texts, counted):
+        if not use:
+            words.update(_TOKEN.findall(text.lower()))
+            continue
+        for s in _SENTENCE.split(text):
+            found = _TOKEN.findall(s.lower())
+            words.update(found)
+            flat += found
+            flat.append(None)
+    raw = {t: code(t) for t in words}
+    raw[None] = -1
+    at = np.fromiter(map(raw.__getitem__, flat), np.int64, len(flat))
+    names = np.array(list(codes), dtype=object)
+    closing = np.append(np.array(marks, bool), False)[at] if len(at) else np.zeros(0, bool)
+    keep = np.ones(len(at), bool)
+    before = at == -1
+    while before.any():
+        # what stands directly before the end of a sentence, or before such marks
+        before = np.append(before[1:], False) & closing
+        keep[before] = False
+    at = at[keep]
+    stop = np.flatnonzero(at == -1)
+    start = np.append(0, stop[:-1] + 1) if len(stop) else stop
+    place = np.arange(len(at)) - np.repeat(start, stop - start + 1)
+    last = np.repeat(stop, stop - start + 1) - 1
+    out = [pd.DataFrame({"gram": list(words), "n": 0, "words": list(words.values()), "ends": 0, "goes": 0})]
+    here = np.arange(len(at))
+    for n in (1, 2, 3):
+        kinds = {}
+        for name, mine in (("ends", (here == last) & (place + 1 >= n)), ("goes", (here < last) & (place >= 2))):
+            j = np.flatnonzero(mine)
+            kinds[name] = np.stack([at[j - i] for i in range(n - 1, -1, -1)], 1) if len(j) else np.zeros((0, n), np.int64)
+        both = np.concatenate(list(kinds.values()))
+        base = len(names) + 1
+        # three numbers below 2,097,152 fit into one
+        key = both[:, 0]
+        for i in range(1, n):
+            key = key * base + both[:, i]
+        known, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        cut = len(kinds["ends"])
+        gram = [" ".join(names[g]) for g in both[first]]
+        out.append(pd.DataFrame({"gram": gram, "n": n, "words": 0, "ends": np.bincount(inverse[:cut], minlength=len(known)), "goes": np.bincount(inverse[cut:], minlength=len(known))}))
+    return pd.concat(out)
+
+
+def fit_terminal(df: DataFrame, key: str, text: str) -> Terminal:
+    """Terminal-context model from all answers: half of them, by hash of the key, give the counts of contexts, the others a sentence and
+    a cut one each for the trees.
+
+    Words, contexts, and the binned features with their numbers are summed before they come to the driver; contexts that only go on and do so once are left behind.
+    """
+    h = F.xxhash64(key, F.lit(5))
+    rows = df.where(F.length(text) > 60).select(F.col(text).alias("t"), h.alias("h"))
+
+    def count(batches):
+        texts, use, size = [], [], 0
+        for batch in batches:
+            for t, k in zip(batch["t"], batch["h"]):
+                t = _whole(t)
+                if t:
+                    texts.append(t)
+                    use.append(k % 2 == 0)
+                    size += len(t)
+            if size > 4_000_000:
+                yield context_counts(texts, use)
+                texts, use, size = [], [], 0
+        if texts:
+            yield context_counts(texts, use)
+
+    counted = rows.mapInPandas(count, "gram string, n int, words long, ends long, goes long").groupBy("gram", "n").agg(*[F.sum(c).alias(c) for c in ("words", "ends", "goes")])
+    table = counted.where("words > 0 or ends > 0 or goes > 1").toArrow()
+    model = Terminal()
+    model.words, model.ends, model.goes = Counter(), Counter(), Counter()
+    for gram, n, words, ends, goes in zip(*(table[c].to_pylist() for c in ("gram", "n", "words", "ends", "goes"))):
+        if not n:
+            model.words[gram] = words
+            continue
+        k = tuple(gram.split(" "))
+        if ends:
+            model.ends[k] = ends
+        if goes > 1:
+            model.goes[k] = goes
+    names = [f"f{i}" for i in range(12)]
+
+    def examples(batches):
+        for batch in batches:
+            out, marks, held = [], [], []
+            for t, k in zip(batch["t"], batch["h"]):
+                if (t := _whole(t)) is not None:
+                    r = random.Random(k)
+                    two = model._examples(t, r)
+                    out += two
+                    marks += [0, 1][: len(two)]
+                    held += [r.random() < 0.25 for _ in two]
+            yield pd.DataFrame(np.array(out, float).reshape(len(out), 12), columns=names).assign(y=np.array(marks, np.int32), held=np.array(held, bool))
+
+    sets = materialize(rows.where("pmod(h, 2) = 1").mapInPandas(examples, ", ".join(f"{c} double" for c in names) + ", y int, held boolean").groupBy(*names, "y", "held").agg(F.count("*").alias("n")))
+    values = sets.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(names)])).alias("x"), "n").groupBy("x.i", "x.v").agg(F.sum("n").alias("n")).toPandas().sort_values(["i", "v"])
+    model.model = Boosted(rounds=60, depth=4)
+    edges = [model.model.edge(part["v"].to_numpy(float), part["n"].to_numpy(float)) for _, part in values.groupby("i")]
+    if not edges:
+        return Terminal().fit([])
+    model.model.edges = edges
+
+    def binned(batches):
+        for batch in batches:
+            b = pd.DataFrame({c: np.searchsorted(e, batch[c].to_numpy(), side="right").astype(np.int32) for c, e in zip(names, edges)})
+            yield b.assign(y=batch["y"].to_numpy(), held=batch["held"].to_numpy(), n=batch["n"].to_numpy()).groupby([*names, "y", "held"], as_index=False)["n"].sum()
+
+    few = sets.mapInPandas(binned, ", ".join(f"{c} int" for c in names) + ", y int, held boolean, n long").groupBy(*names, "y", "held").agg(F.sum("n").alias("n")).toPandas().sort_values([*names, "y", "held"])
+    model.model.fit_counted(few[names].to_numpy(np.int32), few["y"].to_numpy(float), few["n"].to_numpy(float), few["held"].to_numpy(bool))
+    return model
