@@ -99,12 +99,13 @@ def language(text: str) -> tuple[str, float, float]:
     return k, scores[k] / sum(scores.values()), scores[k]
 
 
-_FOLD = {ord(a): b for a, b in zip("áàâäéèêëíìîïóòôöúùûüñç", "aaaaeeeeiiiioooouuuunc")}
+_FOLD = dict(zip("áàâäéèêëíìîïóòôöúùûüñç", "aaaaeeeeiiiioooouuuunc"))
+_ACCENTED = re.compile(f"[{''.join(_FOLD)}]")
 _ALNUM = re.compile(r"[a-z0-9]+")
 
 
 def _plain(text: str) -> str:
-    return " ".join(_ALNUM.findall(text.lower().translate(_FOLD)))
+    return " ".join(_ALNUM.findall(_ACCENTED.sub(lambda m: _FOLD[m[0]], text.lower())))
 
 
 def is_empty(text: str | None) -> bool:
@@ -253,7 +254,8 @@ class Terminal:
         result = np.zeros(len(texts), bool)
         open_rows, where = [], []
         for i, raw in enumerate(texts):
-            t = _TAIL.sub("", raw.rstrip()).rstrip()
+            t = raw.rstrip()
+            t = _TAIL.sub("", t).rstrip() if t[-1:] == "]" else t
             m = _ANNOUNCED.search(t)
             if m:
                 listed = t[m.end() - 1 :]
