@@ -11,6 +11,7 @@ import math
 import random
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -72,22 +73,38 @@ LANGUAGES = {
 _SETS = {k: set(v.split()) for k, v in LANGUAGES.items()}
 _DF = Counter(w for words in _SETS.values() for w in words)
 _QUOTED = re.compile(r"\"[^\"]*\"|«[^»]*»|“[^”]*”")
+
+
+def _unquoted(text: str) -> str:
+    return _QUOTED.sub(" ", text) if '"' in text or "«" in text or "“" in text else text
+
+
 _WORDS = re.compile(r"[^\W\d_]+(?:-se)?")
 
 
-_HITS: dict[str, list[tuple[str, float]]] = {}
-for _k, _words in _SETS.items():
-    for _w in _words:
-        _HITS.setdefault(_w, []).append((_k, 1 / _DF[_w]))
+#: A word counts so much, shared among its languages; divisible by all their numbers, so that sums are exact in any order.
+_UNIT = math.lcm(*_DF.values())
+_SHARED = sorted({tuple(k for k, words in _SETS.items() if w in words) for w in _DF})
+#: Place in ``_SHARES`` of the languages of each frequent word, also by its Latin-1 bytes; the last place is that of no language.
+_HITS: dict[str | bytes, int] = {x: _SHARED.index(tuple(k for k, words in _SETS.items() if w in words)) for w in _DF for x in (w, w.encode("latin-1"))}
+_SHARES = [*([(k, _UNIT // len(languages)) for k in languages] for languages in _SHARED), []]
+#: Latin-1 bytes in which only letters are left.
+_LETTERS = bytes(c if re.match(r"[^\W\d_]", chr(c)) else 32 for c in range(256))
 
 
 def language_scores(text: str) -> dict[str, float]:
     """Weighted hits of every language's frequent words."""
-    scores: dict[str, float] = {}
-    for w in _WORDS.findall(text.lower()):
-        for k, v in _HITS.get(w, ()):
-            scores[k] = scores.get(k, 0.0) + v
-    return scores
+    low = text.lower()
+    try:
+        # with nothing but Latin-1 and no "-se" the words are what stands between other bytes than letters
+        words = _WORDS.findall(low) if "-se" in low else low.encode("latin-1").translate(_LETTERS).split()
+    except UnicodeEncodeError:
+        words = _WORDS.findall(low)
+    scores: dict[str, int] = {}
+    for at, n in Counter(map(_HITS.get, words, repeat(-1))).items():
+        for k, v in _SHARES[at]:
+            scores[k] = scores.get(k, 0) + n * v
+    return {k: v / _UNIT for k, v in scores.items()}
 
 
 def language(text: str) -> tuple[str, float, float]:
@@ -100,19 +117,28 @@ def language(text: str) -> tuple[str, float, float]:
 
 
 _FOLD = dict(zip("áàâäéèêëíìîïóòôöúùûüñç", "aaaaeeeeiiiioooouuuunc"))
-_ACCENTED = re.compile(f"[{''.join(_FOLD)}]")
-_ALNUM = re.compile(r"[a-z0-9]+")
+#: Latin-1 bytes without accents, blanks for all but letters and figures.
+_FOLDED = bytes(ord(x) if (x := _FOLD.get(chr(c), chr(c))) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 
 
 def _plain(text: str) -> str:
-    return " ".join(_ALNUM.findall(_ACCENTED.sub(lambda m: _FOLD[m[0]], text.lower())))
+    # what is not Latin-1 becomes a question mark, and so a blank
+    return " ".join(text.lower().encode("latin-1", "replace").translate(_FOLDED).decode("ascii").split())
+
+
+_STRIPPED = "()[]{}<>\"'«»“”.…·-–—_*#|:;,!¡?¿ \t\r\n"
+#: A beginning without what is taken out of a text before it is judged as empty.
+_BEGINNING = re.compile(r"[^<\[&\u200b-\u200f\u2060\ufeff]{24,99}")
 
 
 def is_empty(text: str | None) -> bool:
     if text is None:
         return True
+    m = _BEGINNING.match(text)
+    if m and len(first := m.group().strip().strip(_STRIPPED).strip()) > 20 and any(map(str.isalnum, first)):
+        return False
     bare = re.sub(r"<[^<>]*>|\[\s*\d+(?:\s*[,;\-]\s*\d+)*\s*\]|&nbsp;|[​-‏⁠﻿]", " ", text)
-    bare = bare.strip().strip("()[]{}<>\"'«»“”.…·-–—_*#|:;,!¡?¿ \t\r\n").strip().lower()
+    bare = bare.strip().strip(_STRIPPED).strip().lower()
     return bare in EMPTY or not any(c.isalnum() for c in bare)
 
 
@@ -129,12 +155,12 @@ def _given(text: bytes, known: bytes) -> int:
 
 def is_copy(question: str | None, answer: str) -> bool:
     """Whether the question explains nearly all of the answer and the answer a good part of a question."""
-    q, a = _plain(question or ""), _plain(re.sub(r"\[\d+\]", " ", answer))
+    q, a = _plain(question or ""), _plain(re.sub(r"\[\d+\]", " ", answer) if "[" in answer else answer)
     if len(a) < 15 or len(q) < 15:
         # too short for a dictionary: the same but for case, accents and punctuation
         return bool(a) and a == q
     words, known = a.split(), set(q.split())
-    if sum(w in known for w in words) < 0.6 * len(words):
+    if sum(map(known.__contains__, words)) < 0.6 * len(words):
         return False
     # the frame takes about 10 bytes, a match about 3; a wrapper of a few words comes on top, more is an answer
     new = _given(a.encode(), q.encode()) - 12
@@ -171,24 +197,34 @@ def is_refusal(question: str | None, answer: str) -> bool:
 
 
 def is_foreign(question: str | None, answer: str) -> bool:
-    given = language_scores(_QUOTED.sub(" ", answer) if '"' in answer or "«" in answer or "“" in answer else answer)
+    given = language_scores(_unquoted(answer))
     if not given:
         return False
     k = max(given, key=given.get)
     if given[k] < 2.0:
         return False
-    asked, _, n = language(_QUOTED.sub(" ", question or ""))
+    asked, _, n = language(_unquoted(question or ""))
     # the question's language explains clearly less of the answer
     return bool(asked) and asked != k and n >= 1.0 and given[k] > 1.4 * given.get(asked, 0.0)
 
 
 _COUNTS = {"dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6}
 _ANNOUNCED = re.compile(r"\b(" + "|".join(_COUNTS) + r")\s+(?:[^\W\d_]+\s+){0,2}[^\W\d_]+\s*:\s*(?=(?:\n|\(?[1a][).]|-|•))", re.I)
+#: How such an announcement ends; looked for first.
+_LISTED = re.compile(r":\s*(?=(?:\n|\(?[1a][).]|-|•))", re.I)
 _NUMBERS = re.compile(r"\d+")
 _ITEM = re.compile(r"(?:(?<=\s)|^)\(?(\d{1,2})[.)](?=\s|$)")
 _TAIL = re.compile(r"(?:\s*\[\d+\])+\s*$")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
-_SENTENCE = re.compile(r"(?<=[.?!])\s+(?=[A-ZÁÉÍÓÚÑ¿¡])")
+_SENTENCE = re.compile(r"\s(?<=[.?!]\s)\s*(?=[A-ZÁÉÍÓÚÑ¿¡])")
+
+
+def _stops(t: str) -> bool:
+    """Whether a text without blanks at its end ends in the middle by its last marks."""
+    c, b = t[-1:], t[-2:-1]
+    if not (c in "….:,;()[" or c.isdecimal()) or c in (".", ")") and not (b == "." or b.isdecimal()):
+        return False
+    return bool(re.search(r"(?:…|\.\.\.|:|,|;|\(|\b\d{1,2}[.)]|[\[(]\d*)$", t) and not re.search(r"\w{3}[^\W\d_]*\s+\d{1,4}\.$", t) or re.search(r"\[\d*$", t))
 
 
 class Terminal:
@@ -235,12 +271,17 @@ class Terminal:
 
     @staticmethod
     def _tokens(text: str) -> list[str]:
-        return ["0" if t.isdigit() else t if len(t) < 8 else "~" + t[-4:] if not t.endswith("mente") else "~mente" for t in _TOKEN.findall(text.lower())]
+        return Terminal._shapes(_TOKEN.findall(text.lower()))
+
+    @staticmethod
+    def _shapes(found: list[str]) -> list[str]:
+        return ["0" if t.isdigit() else t if len(t) < 8 else "~" + t[-4:] if not t.endswith("mente") else "~mente" for t in found]
 
     def _features(self, text: str) -> list[float]:
         tail = text[-90:]
-        tokens = self._tokens(tail)
-        last = (_TOKEN.findall(tail.lower()) or [""])[-1]
+        found = _TOKEN.findall(tail.lower())
+        # only the last three make a context
+        tokens, last = self._shapes(found[-3:]), (found or [""])[-1]
         out = []
         for n in (1, 2, 3):
             k = tuple(tokens[-n:])
@@ -256,7 +297,7 @@ class Terminal:
         for i, raw in enumerate(texts):
             t = raw.rstrip()
             t = _TAIL.sub("", t).rstrip() if t[-1:] == "]" else t
-            m = _ANNOUNCED.search(t)
+            m = _LISTED.search(t) and _ANNOUNCED.search(t)
             if m:
                 listed = t[m.end() - 1 :]
                 items = [int(x) for x in _ITEM.findall(listed)]
@@ -264,7 +305,7 @@ class Terminal:
                 if max(items[-1:] + [bullets]) < _COUNTS[m[1].lower()]:
                     result[i] = True
                     continue
-            if re.search(r"(?:…|\.\.\.|:|,|;|\(|\b\d{1,2}[.)]|[\[(]\d*)$", t) and not re.search(r"\w{3}[^\W\d_]*\s+\d{1,4}\.$", t) or re.search(r"\[\d*$", t):
+            if _stops(t):
                 result[i] = True
                 continue
             if t[-1:] in ".?!»\"”)]" or re.search(r"(?:mg|ml|h|%|g|UI|kg)$", t) and len(t) < 60:
