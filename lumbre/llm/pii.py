@@ -35,7 +35,7 @@ _EMAIL = re.compile(rf"(?:mailto:\s*)?[\w][\w.+\-]*{_AT}[\w\-]*(?:{_DOT}[\w\-]+)
 _SIGN = re.compile(r"[@＠]|\barroba\b|\bAT\b|[\[({]\s*(?:at|a)\s*[\])}]|\sen\s+[\w\-]+(?:\.[\w\-]+)*\.[a-z]{2,}")
 #: Six figures with at most separators between them; without these there is no number to propose.
 _FIGURES = re.compile(r"\d[\d. ·/\-]{5}")
-_DOTTED = re.compile(r"\w\.[a-z]{2}")
+_DOTTED = re.compile(r"\.(?<=\w\.)[a-z]{2}")
 _NUMBER = re.compile(r"(?<![\w.,])(?:(?:\(\+\s?\d{1,3}\)|\+\s?\d{1,3})[ .·/\-]*|\(\d{2,4}\)[ .·/\-]*)?\d(?:[ .·/\-]{0,2}\d){4,}(?:\s*\(prefijo\s*\d{2,4}\)|\s*,?\s*ext\.?\s*\d{1,5})?(?![\d])")
 _SPELLED = re.compile(rf"\b{_DIGIT_WORD}(?:[ ,\-]+{_DIGIT_WORD}){{5,}}\b", re.I)
 _CODE = re.compile(
@@ -54,13 +54,13 @@ _PLACE = re.compile(
 )
 _TOKEN = rf"(?:[{U}][{L}]+|[{U}]{{2,}}|[{U}]'[{U}][{L}]+|[{U}][{L}]+[{U}][{L}]+)"
 _JOIN = r"(?:de\s+las?|de\s+los|del|de|y|i|van|von|der|da|dos|do|ben|bin|el|al|la|le)"
-_NAME = re.compile(
-    rf"(?<![\w@.\-/])(?:(?:{_TOKEN}|[{U}]\.)(?:(?:\s+{_JOIN}\s+|\s+|-|\s*,\s+)(?:{_TOKEN}|[{U}]\.)(?:-{_TOKEN})?){{1,4}})(?![\w@])"
-)
+#: What follows the first capital of a token, and what does not stand before it: patterns that begin with a capital are found faster.
+_REST = rf"(?<![\w@.\-/].)(?:[{L}]+|[{U}]+|'[{U}][{L}]+|[{L}]+[{U}][{L}]+"
+_NAME = re.compile(rf"[{U}]{_REST}|\.)(?:(?:\s+{_JOIN}\s+|\s+|-|\s*,\s+)(?:{_TOKEN}|[{U}]\.)(?:-{_TOKEN})?){{1,4}}(?![\w@])")
 _LEAD = re.compile(rf"{_TOKEN}\s+(?:(?:de\s+las?|de\s+los|del|de|y)\s+)?")
 _BETWEEN = re.compile(rf"(?:\s+y\s+|\s*,\s+)(?=[{U}])")
 _INSIDE = re.compile(r"[\w,)]\s*$")
-_SINGLE = re.compile(rf"(?<![\w@.\-/]){_TOKEN}(?:-{_TOKEN})?(?![\w@])")
+_SINGLE = re.compile(rf"[{U}]{_REST})(?:-{_TOKEN})?(?![\w@])")
 _DIGIT_WORDS = set("cero uno dos tres cuatro cinco seis siete ocho nueve".split())
 _DIGIT_CAPITALS = ("UNO", "DOS", "TRES", "CUATRO", "CINCO", "SEIS", "SIETE", "OCHO", "NUEVE")
 _LOWER = re.compile(rf"([{L}]+)\s+((?:(?:de\s+las?|de\s+los|del|de)\s+)?[{L}]+(?:-[{L}]+)?(?:\s+[{L}]+)?)")
@@ -95,8 +95,13 @@ _NOT_PERSONAL, _TITLES = frozenset(NOT_PERSONAL), frozenset(TITLES)
 _OPENING = frozenset(w.rstrip(".") for words in (*CUES.values(), TITLES, NOT_PERSONAL) for w in words)
 _BEFORE = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?\.?ª?|\d+|[^\w\s]")
 _LOWERCASE = re.compile(rf"(?<!\w)[{L}]{{2,}}(?!\w)")
-_CAPITAL = re.compile(rf"(?<=[{L},] )[{U}][{L}]+(?!\w)")
+_CAPITAL = re.compile(rf"[{U}](?<=[{L},] .)[{L}]+(?!\w)")
 _ANY_CAPITAL = re.compile(rf"(?<!\w)[{U}][{U}{L}]+(?!\w)")
+_RUN = re.compile(r"\w+")
+#: Beginning of a run of letters and figures at which an address may begin: words, and abbreviations that a dot or bar ends.
+_STREET_RUN = re.compile(
+    r"(?=[AaBbCcGgPpRrTtUuVv])(?i:calle|avda|avenida|avgda|plaza|plza|pza|plaça|paseo|pº|pso|passeig|camino|cno|cmno|carretera|ctra|rúa|ronda|rda|travesía|glorieta|gta|urbanización|cuesta|vía|polígono|barrio|carrer|alameda|bulevar|pasaje|psje|(?:c|cl|av|pl|p|trav|urb|pol)\Z)"
+)
 
 
 def _place(word: str) -> int:
@@ -125,13 +130,28 @@ def case_shares(df: DataFrame, text: str) -> np.ndarray:
 
     def run(batches):
         low, up = np.zeros(CASES, np.int32), np.zeros(CASES, np.int32)
+        runs, capitals = Counter(), Counter()
+
+        def add():
+            for w, n in runs.items():
+                if _LOWERCASE.fullmatch(w):
+                    low[_place(w)] += 4 * n
+                elif _ANY_CAPITAL.fullmatch(w):
+                    up[_place(w.lower())] += n
+            for w, n in capitals.items():
+                up[_place(w.lower())] += 3 * n
+            runs.clear()
+            capitals.clear()
+
         for batch in batches:
             texts = batch["text"].tolist()
             for i in range(0, len(texts), 500):
                 joined = "\n".join(texts[i : i + 500])
-                for table, pattern, weight in ((low, _LOWERCASE, 4), (up, _ANY_CAPITAL, 1), (up, _CAPITAL, 3)):
-                    for w, n in Counter(pattern.findall(joined)).items():
-                        table[_place(w.lower())] += weight * n
+                runs.update(_RUN.findall(joined))
+                capitals.update(_CAPITAL.findall(joined))
+                if len(runs) > 100_000:
+                    add()
+        add()
         at = np.flatnonzero((low > 0) | (up > 0))
         yield pd.DataFrame({"at": at.astype(np.int32), "low": low[at], "up": up[at]})
 
@@ -228,20 +248,35 @@ def features(kind: str, text: str, start: int, end: int, shares: np.ndarray) ->
     return out
 
 
-#: Words judged by the table of the last call, kept while there are not too many.
-_ODD: dict[str, bool] = {}
-_ODD_OF: list[np.ndarray] = []
+#: Runs of letters and figures judged by the table of the last call, kept while there are not too many: those that call for nothing, and the others.
+_DULL: set[str] = set()
+_TELLING: dict[str, tuple[bool, bool, bool, bool]] = {}
+_TOLD_BY: list[np.ndarray] = []
 
 
 def _odd(word: str, shares: np.ndarray) -> bool:
     """Whether a word in lower case may begin a name: a given name, or one that mostly stands in capitals."""
-    if not _ODD_OF or _ODD_OF[0] is not shares or len(_ODD) > 300_000:
-        _ODD.clear()
-        _ODD_OF[:] = [shares]
-    known = _ODD.get(word)
-    if known is None:
-        known = _ODD[word] = len(word) > 2 and (word in _GIVEN or word not in _STOP and bool(shares[_place(word)] < 6))
-    return known
+    return len(word) > 2 and (word in _GIVEN or word not in _STOP and bool(shares[_place(word)] < 6))
+
+
+def _telling(text: str, shares: np.ndarray) -> dict[str, tuple[bool, bool, bool, bool]]:
+    """The runs of a text that call for a generator: whether a street, a spelled figure, an odd word or what announces a name in lower case."""
+    if not _TOLD_BY or _TOLD_BY[0] is not shares or len(_DULL) + len(_TELLING) > 300_000:
+        _DULL.clear()
+        _TELLING.clear()
+        _TOLD_BY[:] = [shares]
+    told = {}
+    for w in set(_RUN.findall(text)).difference(_DULL):
+        marks = _TELLING.get(w)
+        if marks is None:
+            low = bool(_LOWERCASE.fullmatch(w))
+            marks = bool(_STREET_RUN.match(w)), low and w in _DIGIT_WORDS, low and _odd(w, shares), low and w in _LOWER_CUES
+            if not any(marks):
+                _DULL.add(w)
+                continue
+            _TELLING[w] = marks
+        told[w] = marks
+    return told
 
 
 def _opens(word: str, shares: np.ndarray) -> bool:
@@ -263,7 +298,8 @@ def propose(text: str, shares: np.ndarray) -> list[tuple[str, int, int]]:
                 out.append(("EMAIL", m.start(), m.end()))
                 done = m.end()
                 break
-    words = set(_LOWERCASE.findall(text))
+    told = _telling(text, shares)
+    street, spelled, odd, cue = map(any, zip(*told.values())) if told else (False,) * 4
     if _FIGURES.search(text):
         for m in _NUMBER.finditer(text):
             n = sum(c.isdigit() for c in m.group())
@@ -271,10 +307,10 @@ def propose(text: str, shares: np.ndarray) -> list[tuple[str, int, int]]:
                 out.append(("TELEFONO", m.start(), m.end()))
         for m in _CODE.finditer(text):
             out.append(("DOCUMENTO", m.start(), m.end()))
-    if not _DIGIT_WORDS.isdisjoint(words) or any(w in text for w in _DIGIT_CAPITALS):
+    if spelled or any(w in text for w in _DIGIT_CAPITALS):
         for m in _SPELLED.finditer(text):
             out.append(("TELEFONO", m.start(), m.end()))
-    for m in _PLACE.finditer(text):
+    for m in _PLACE.finditer(text) if street else ():
         out.append(("DIRECCION", m.start(), m.end()))
     for m in _NAME.finditer(text):
         s = m.start()
@@ -294,9 +330,8 @@ def propose(text: str, shares: np.ndarray) -> list[tuple[str, int, int]]:
         low = m.group().lower()
         if low in _GIVEN or len(low) > 2 and low not in _STOP and _announced(text, m.start()):
             out.append(("NOMBRE", m.start(), m.end()))
-    odd = [w for w in words if _odd(w, shares)]
-    if odd or not _LOWER_CUES.isdisjoint(words):
-        out += _lower_names(text, odd)
+    if odd or cue:
+        out += _lower_names(text, [w for w, marks in told.items() if marks[2]])
     return out
 
 
