@@ -38,6 +38,7 @@ def test_hybrid_ranks_every_question_as_the_fused_pools(spark, monkeypatch, tmp_
     monkeypatch.setattr(pools, "CELLS", 400)
     monkeypatch.setattr(pools, "PRODUCT", 12)
     monkeypatch.setattr(pools, "TERMS", 2)
+    monkeypatch.setattr(pools, "SHORT", 2)
     r = np.random.default_rng(9)
     words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in ("lor", "min", "ra")]
     p = 1.0 / np.arange(1, len(words) + 1)
